@@ -4,11 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridframe.llm import chat, packing, tokens
+from gridframe.llm import chat, packing, quality, tokens, toxicity
 from gridframe.llm.common import table
+from gridframe.llm.labelled import remainder
+
+
+def _judged(scores: DataFrame, held_out: Column, threshold: float) -> DataFrame:
+    """``scores`` with the fold and the decision."""
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), remainder(5) == 0
+    model = quality.train(docs, table(spark, sf_dir, "labels"), "quality", ~held_out)
+    return _judged(quality.score(docs, model), held_out, 0.3)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), remainder(3) == 1
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic", ~held_out)
+    return _judged(toxicity.score(docs, model), held_out, 0.7)
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +57,9 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality": op2_quality,
     "op5_token_counts": op5_token_counts,
+    "op6_toxicity": op6_toxicity,
     "op8_chat_format": op8_chat_format,
     "op9_pack": op9_pack,
     "op10_byte_bpe": op10_byte_bpe,
