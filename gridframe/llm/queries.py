@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridframe.llm import chat, packing, quality, tokens, toxicity
+from gridframe.llm import chat, packing, quality, simhash, tokens, toxicity
 from gridframe.llm.common import table
 from gridframe.llm.labelled import remainder
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, reach=2)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def _judged(scores: DataFrame, held_out: Column, threshold: float) -> DataFrame:
     """``scores`` with the fold and the decision."""
     return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -57,6 +62,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
     "op5_token_counts": op5_token_counts,
     "op6_toxicity": op6_toxicity,
