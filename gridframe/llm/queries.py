@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridframe.llm import chat, packing, quality, simhash, tokens, toxicity
+from gridframe.llm import chat, packing, quality, simhash, substrings, tokens, toxicity
 from gridframe.llm.common import table
 from gridframe.llm.labelled import remainder
 
@@ -34,6 +34,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(toxicity.score(docs, model), held_out, 0.7)
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents"), window=13, digest=True)
+    return found.withColumnRenamed("kept", "kept_sha256")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -64,6 +69,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
+    "op3_substrings": op3_substrings,
     "op5_token_counts": op5_token_counts,
     "op6_toxicity": op6_toxicity,
     "op8_chat_format": op8_chat_format,
