@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -172,11 +173,11 @@ def keep_good(docs: DataFrame, model: tuple[np.ndarray, float, float], threshold
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def scored(column):
+    def scored(column: pd.Series) -> pd.Series:
         w, a, c = shared.value
         docs = [x or "" for x in column]
         parts = [margins(docs[k : k + 256], w) for k in range(0, len(docs), 256)]
         odds = a * np.concatenate(parts or [np.zeros(0)]) + c
-        return type(column)(1 / (1 + np.exp(-np.clip(odds, -700, 700))))
+        return pd.Series(1 / (1 + np.exp(-np.clip(odds, -700, 700))))
 
     return docs.where(scored(F.col("text").cast("string")) >= threshold)
