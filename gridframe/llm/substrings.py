@@ -79,6 +79,10 @@ class _Docs:
         self.hashes = np.fromiter((_hash[w] for doc in words for w in doc), np.uint64, int(self.sizes.sum()))
         self.row = np.repeat(np.arange(len(words)), self.sizes)
         self.place = np.arange(len(self.hashes)) - self.starts[self.row]
+        # What was found at places of a row must not reach another row with the same id, so places travel with a key of both.
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(self.hashes + self.place.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)))])
+        text = sums[self.starts[1:]] - sums[self.starts[:-1]]
+        self.keys = _mix(text + _mix(self.ids.view(np.uint64) + np.uint64(1))).view(np.int64)
 
     def whole(self, k: int) -> np.ndarray:
         """The places from which k words of the same document follow."""
@@ -161,8 +165,7 @@ def _probe(flush: _Docs, block: int, slots: int) -> Iterator[tuple]:
         yield from _packed(kind, None, bucket[chosen], np.zeros(int(chosen.sum()), np.int64), low[chosen])
     hit = np.sort(at[np.repeat(shared, size)])
     rows, runs = _runs(flush.place[hit], flush.row[hit])
-    ids = flush.ids[rows]
-    yield from _packed(RUNS, 0, _doc_slots(ids, slots), ids, runs)
+    yield from _packed(RUNS, 0, _doc_slots(flush.ids[rows], slots), flush.keys[rows], runs)
 
 
 def _match_blocks(batches: Iterator[pa.RecordBatch], slots: int) -> Iterator[pa.RecordBatch]:
@@ -231,7 +234,7 @@ class _Found:
     def mark(self, flush: _Docs, at: np.ndarray, key: np.ndarray) -> np.ndarray:
         """The places of the flush that runs cover or whose key is looked for; ``key`` belongs to the places ``at``."""
         out = np.zeros(len(flush.hashes) + 1, np.int32)
-        rows, runs = self.of(self.runs, flush.ids)
+        rows, runs = self.of(self.runs, flush.keys)
         if len(rows):
             begin = flush.starts[rows] + (runs >> _U32).astype(np.int64)
             np.add.at(out, begin, 1)
@@ -325,7 +328,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, digest: bool = F
                 least = np.repeat(ids[first], size)
                 covered = np.sort(at[ids > least])
                 row, runs = _runs(flush.place[covered], flush.row[covered])
-                out += _packed(RUNS, 0, _doc_slots(flush.ids[row], slots), flush.ids[row], runs)
+                out += _packed(RUNS, 0, _doc_slots(flush.ids[row], slots), flush.keys[row], runs)
                 out += _packed(WINDOWS, None, _slot(one[first], slots), ids[first], one[first].astype("<u8"), two[first])
             for k, words in enumerate(flush.words):
                 doc = int(flush.ids[k]).to_bytes(8, "little", signed=True)
