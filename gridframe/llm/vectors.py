@@ -96,7 +96,7 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array([[clip(sum(u * v for u, v in zip(r, c, strict=True))) for c in columns] for r in rows], np.int64).reshape(len(a), len(b))
 
 
-def _search_row(queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+def _search_row(queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[list[int], ...]:
     """The best of one packed row for each query, block by block in order of the blocks' bounds.
 
     A component's largest and smallest value in a block bound what the component can add, their sum over the components
@@ -130,7 +130,8 @@ def _search_row(queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, x:
                         heapq.heappush(best[q], item)
                     elif item > best[q][0]:
                         heapq.heapreplace(best[q], item)
-    return [(int(query_ids[q]), -i, s) for q, heap in enumerate(best) for s, i in heap]
+    found = [(int(query_ids[q]), -i, s) for q, heap in enumerate(best) for s, i in heap]
+    return tuple(map(list, zip(*found, strict=True))) if found else ([], [], [])
 
 
 def exact_top_k(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
@@ -160,8 +161,8 @@ def _units(candidates: DataFrame, queries: DataFrame, width: int, search: Callab
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for ids, data, query_ids, query_data in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                found = search(np.frombuffer(query_data).reshape(-1, width), np.frombuffer(query_ids, np.int64), np.frombuffer(ids, np.int64), np.frombuffer(data).reshape(-1, width))
-                query, vec, score = zip(*found, strict=True) if found else ((), (), ())
+                asked = np.frombuffer(query_ids, np.int64)
+                query, vec, score = search(np.frombuffer(query_data).reshape(len(asked), -1), asked, np.frombuffer(ids, np.int64), np.frombuffer(data).reshape(-1, width))
                 yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(vec, pa.int64()), pa.array(score, pa.int64() if kind == "long" else pa.float64())], ["query_id", "vec_id", "score"])
 
     return pairs.select("ids", "data", "query_ids", "query_data").mapInArrow(run, f"query_id long, vec_id long, score {kind}")
@@ -252,16 +253,20 @@ class MeansTree:
         return min(self.leaves, int(np.searchsorted(reached, recall)) + 1)
 
 
-def _nearest_in_row(queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    out = []
-    scores = queries @ x.T
-    for q, name, s in zip(queries, query_ids, scores, strict=True):
-        edge = np.partition(s, -k - 1)[-k - 1] if len(s) > k + 1 else -np.inf
-        near = np.flatnonzero((s >= edge - 1e-9 * max(1.0, abs(edge))) & (ids != name)) if edge > -np.inf else np.flatnonzero(ids != name)
-        exact = (x[near] * q).sum(1)  # one order of summing, wherever a vector stands: equal vectors tie
-        for j in np.lexsort((ids[near], -exact))[:k]:
-            out.append((int(name), int(ids[near[j]]), float(exact[j])))
-    return out
+def _nearest_in_row(queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The row's best for each query, as arrays of query, id and score. A query's last component is a score that ``k`` candidates reach."""
+    queries, least = queries[:, :-1], queries[:, -1]
+    q, c = np.nonzero(queries @ x.T >= (least - 1e-9 * np.maximum(1.0, np.abs(least)))[:, None])
+    other = ids[c] != query_ids[q]
+    q, c = q[other], c[other]
+    exact = np.empty(len(q))
+    for at in range(0, len(q), 1 << 15):
+        part = slice(at, at + (1 << 15))
+        exact[part] = (x[c[part]] * queries[q[part]]).sum(1)  # one order of summing, wherever a vector stands: equal vectors tie
+    order = np.lexsort((ids[c], -exact, q))
+    q, c, exact = q[order], c[order], exact[order]
+    top = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return query_ids[q[top]], ids[c[top]], exact[top]
 
 
 #: Vectors that the tree is fitted on at most, vectors of a leaf, and the share of true neighbours to find in the sample.
@@ -281,8 +286,9 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = SA
     named = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("v")).where("v IS NOT NULL AND exists(v, x -> x <> 0)")
     width, n = _width(named), named.count()
     table = named.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_VECTORS).toArrow()
-    pieces = [_vectors(b, width)[1] for b in table.to_batches()]
-    sample = np.concatenate(pieces) if pieces else np.zeros((0, width))
+    pieces = [_vectors(b, width) for b in table.to_batches()]
+    ids, sample = (np.concatenate(z) for z in zip(*pieces, strict=True)) if pieces else (np.zeros(0), np.zeros((0, width)))
+    sample = sample[np.unique(ids, return_index=True)[1]]  # an id once, so that a query meets itself at most once
     empty = "query_id long, rank int, vec_id long, score double"
     if not len(sample):
         return spark.createDataFrame([], empty)
@@ -290,15 +296,27 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = SA
     visits = max(tree.calibrate(sample, k, recall), min(tree.leaves, -(-4 * k * tree.leaves // max(1, n))))
     if n <= 4 * k:
         visits = tree.leaves
-    shared = spark.sparkContext.broadcast(tree)
+    shared = spark.sparkContext.broadcast((tree, sample, tree.home(sample)))  # a tree and SAMPLE_VECTORS vectors at most
 
     def home(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return np.arange(len(x)), shared.value.home(x)
+        return np.arange(len(x)), shared.value[0].home(x)
+
+    def with_least(x: np.ndarray) -> np.ndarray:
+        """Queries with a score that at least ``k`` others in their leaves reach, by the sample's vectors there."""
+        tree, known, leaf = shared.value
+        least = np.full(len(x), -np.inf)
+        for i, q in enumerate(x):
+            chosen = np.zeros(tree.leaves, bool)
+            chosen[tree.best_first(q, visits)] = True
+            s = known[chosen[leaf]] @ q
+            if len(s) > k:
+                least[i] = np.partition(s, -k - 1)[-k - 1]  # one more, since the query may be among them
+        return np.column_stack([x, least])
 
     def visited(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        found = [shared.value.best_first(q, visits) for q in x]
+        found = [shared.value[0].best_first(q, visits) for q in x[:, :-1]]
         return np.repeat(np.arange(len(x)), [len(f) for f in found]), np.array([leaf for f in found for leaf in f], np.int64)
 
     candidates = packed(named, width, BLOCK_VECTORS * ROW_BLOCKS, home)
-    queries = packed(named.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v")), width, CHUNK_QUERIES, visited)
+    queries = packed(named.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v")), width, CHUNK_QUERIES, visited, with_least)
     return _best(_units(candidates, queries, width, lambda q, qi, i, x: _nearest_in_row(q, qi, i, x, k), "double"), k)
