@@ -5,7 +5,7 @@ A box is ``array<struct<beg: bigint, end: bigint>>``, half open; shapes are ``ar
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of an element.
@@ -57,12 +57,14 @@ def begins(ranges: Column) -> Column:
     return F.transform(ranges, lambda r: r["beg"])
 
 
-def coordinates(ranges: Column) -> Column:
-    """All coordinates of half-open ranges in row-major order, each as an array. Empty where a range is empty."""
-    sizes = extents(ranges)
-    n = product(sizes)
-    numbers = F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>"))
-    return F.transform(numbers, lambda i: F.zip_with(unravel(i, sizes), ranges, lambda c, r: c + r["beg"]))
+def explode_ranges(df: DataFrame, ranges: str | Column, rank: int, out: str) -> DataFrame:
+    """A row for each coordinate of half-open ranges, as the array ``out``: one generator an axis, which runs compiled."""
+    ranges = F.col(ranges) if isinstance(ranges, str) else ranges
+    df = df.withColumn("_ranges", ranges)
+    for k in range(rank):
+        r = F.col("_ranges")[k]
+        df = df.withColumn(f"_at{k}", F.explode(F.when(r["beg"] < r["end"], F.sequence(r["beg"], r["end"] - 1))))
+    return df.withColumn(out, F.array(*[F.col(f"_at{k}") for k in range(rank)])).drop("_ranges", *[f"_at{k}" for k in range(rank)])
 
 
 def inside(box: Column, shape: Column) -> Column:

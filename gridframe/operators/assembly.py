@@ -1,4 +1,4 @@
-"""From chunks and cells to crops: equi-joins on the chunk, clip to the box, subtract its origin."""
+"""From chunks and cells to crops: clip chunks to the box, join cells by place, subtract the box's origin."""
 
 from __future__ import annotations
 
@@ -12,44 +12,35 @@ def _box(axis: int, end: str) -> Column:
     return F.element_at("aabb", axis + 1)[end]
 
 
-def crop_cells(chunks: DataFrame, cells: DataFrame) -> DataFrame:
-    """Cells of each sample's chunks, clipped, at places relative to the box.
-
-    ``cells(y, x, value, cy, cx)`` has each cell with its chunk. A chunk's cells travel as one row.
-    """
-    tiles = cells.groupBy("cy", "cx").agg(F.collect_list(F.struct("y", "x", "value")).alias("tile"))
-    keyed = chunks.withColumns({"cy": F.col("chunk_coord")[0], "cx": F.col("chunk_coord")[1]})
-    y0, y1, x0, x1 = _box(0, "beg"), _box(0, "end"), _box(1, "beg"), _box(1, "end")
-    inside = F.filter("tile", lambda c: (c["y"] >= F.col("y0")) & (c["y"] < F.col("y1")) & (c["x"] >= F.col("x0")) & (c["x"] < F.col("x1")))
-    found = keyed.select(*[c for c in ("sample_seq", "batch_id", "sample_idx") if c in keyed.columns], "cy", "cx", y0.alias("y0"), y1.alias("y1"), x0.alias("x0"), x1.alias("x1")).join(tiles, ["cy", "cx"])
-    rows = found.select(*[c for c in ("sample_seq", "batch_id", "sample_idx") if c in found.columns], "y0", "x0", F.explode(inside).alias("c"))
-    return rows.withColumns({"y": F.col("c.y") - F.col("y0"), "x": F.col("c.x") - F.col("x0"), "value": F.col("c.value")}).drop("c", "y0", "x0")
-
-
-def _places(chunks: DataFrame) -> DataFrame:
+def _places(chunks: DataFrame, rank: int) -> DataFrame:
     """Every place of every chunk inside the box: its coordinate in the array as ``at``."""
+    own = [c for c in ("sample_seq", "batch_id", "sample_idx", "aabb") if c in chunks.columns]
     clip = g.clip(F.col("aabb"), F.col("chunk_coord"), F.col("inner"))
-    return chunks.withColumn("at", F.explode(g.coordinates(clip)))
+    return g.explode_ranges(chunks.select(*own, clip.alias("clip")), "clip", rank, "at").drop("clip")
+
+
+def crop_cells(chunks: DataFrame, cells: DataFrame) -> DataFrame:
+    """Cells of each sample's chunks, clipped, at places relative to the box. ``cells(y, x, value)`` is dense."""
+    places = _places(chunks, 2).withColumns({"ay": F.col("at")[0], "ax": F.col("at")[1], "y": F.col("at")[0] - _box(0, "beg"), "x": F.col("at")[1] - _box(1, "beg")}).drop("at", "aabb")
+    return places.join(cells.select(F.col("y").alias("ay"), F.col("x").alias("ax"), "value"), ["ay", "ax"]).drop("ay", "ax")
 
 
 def fill_cells(chunks: DataFrame, fill: Column) -> DataFrame:
     """The box's places with one value; nothing is read."""
-    return _places(chunks).withColumns({"y": F.col("at")[0] - _box(0, "beg"), "x": F.col("at")[1] - _box(1, "beg"), "value": fill})
+    return _places(chunks, 2).withColumns({"y": F.col("at")[0] - _box(0, "beg"), "x": F.col("at")[1] - _box(1, "beg"), "value": fill})
 
 
 def sparse_cells(chunks: DataFrame, cells: DataFrame, fill: float) -> DataFrame:
     """The box's places joined to ``cells(y, x, value)``; absent cells, and so absent chunks and shards, take ``fill``."""
-    at = _places(chunks).select("sample_seq", F.col("at")[0].alias("ay"), F.col("at")[1].alias("ax"), _box(0, "beg").alias("y0"), _box(1, "beg").alias("x0"))
+    at = _places(chunks, 2).select("sample_seq", F.col("at")[0].alias("ay"), F.col("at")[1].alias("ax"), _box(0, "beg").alias("y0"), _box(1, "beg").alias("x0"))
     found = at.join(cells.select(F.col("y").alias("ay"), F.col("x").alias("ax"), "value"), ["ay", "ax"], "left")
     return found.select("sample_seq", (F.col("ay") - F.col("y0")).alias("y"), (F.col("ax") - F.col("x0")).alias("x"), F.coalesce("value", F.lit(fill).cast("float")).alias("value"))
 
 
-def rank1_cells(chunks: DataFrame, cells: DataFrame, inner: int) -> DataFrame:
+def rank1_cells(chunks: DataFrame, cells: DataFrame) -> DataFrame:
     """Crops of a rank-1 array of ``cells(x, value)``."""
-    tiles = cells.withColumn("cx", F.expr(f"x div {inner}")).groupBy("cx").agg(F.collect_list(F.struct("x", "value")).alias("tile"))
-    keyed = chunks.select("sample_seq", F.col("chunk_coord")[0].alias("cx"), _box(0, "beg").alias("x0"), _box(0, "end").alias("x1")).join(tiles, "cx")
-    rows = keyed.select("sample_seq", "x0", F.explode(F.filter("tile", lambda c: (c["x"] >= F.col("x0")) & (c["x"] < F.col("x1")))).alias("c"))
-    return rows.select("sample_seq", (F.col("c.x") - F.col("x0")).alias("x"), F.col("c.value").alias("value"))
+    places = _places(chunks, 1).select("sample_seq", F.col("at")[0].alias("ax"), (F.col("at")[0] - _box(0, "beg")).alias("x"))
+    return places.join(cells.select(F.col("x").alias("ax"), "value"), "ax").drop("ax")
 
 
 def block_cells(blocks: DataFrame, shape: list[int]) -> DataFrame:

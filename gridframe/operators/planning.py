@@ -53,15 +53,17 @@ def per_axis(ranged: DataFrame, *columns: Column) -> DataFrame:
     return ranged.select("sample_seq", F.posexplode(F.arrays_zip(*columns)).alias("axis", "a"))
 
 
-def sample_shards(ranged: DataFrame) -> DataFrame:
-    """A row for each shard of a sample, in row-major order."""
-    return ranged.select("*", F.posexplode(g.coordinates(F.col("shards"))).alias("ordinal", "shard_coord"))
+def sample_shards(ranged: DataFrame, rank: int) -> DataFrame:
+    """A row for each shard of a sample, numbered in row-major order."""
+    rows = g.explode_ranges(ranged, "shards", rank, "shard_coord")
+    place = g.row_major(F.zip_with("shard_coord", g.begins(F.col("shards")), lambda c, b: c - b), g.extents(F.col("shards")))
+    return rows.withColumn("ordinal", place.cast("int"))
 
 
-def sample_chunks(ranged: DataFrame) -> DataFrame:
+def sample_chunks(ranged: DataFrame, rank: int) -> DataFrame:
     """A row for each chunk of a sample: its shard, its slot there, and its place in the sample's own grid."""
     chunk = F.col("chunk_coord")
-    return ranged.select("*", F.explode(g.coordinates(F.col("chunks"))).alias("chunk_coord")).withColumns(
+    return g.explode_ranges(ranged, "chunks", rank, "chunk_coord").withColumns(
         {
             "shard_coord": F.zip_with(chunk, "ips", g.div),
             "slot": g.row_major(F.zip_with(chunk, "ips", lambda c, n: c % n), F.col("ips")),

@@ -60,7 +60,7 @@ def _box(k: int, end: str):
 )
 def crop_batches_emb(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: samples, chunks, cells, clip, batches."""
-    return assembly.crop_cells(planning.sample_chunks(_sealed(spark, sf_dir)), L.embedding_cells(spark, sf_dir)).select("batch_id", "sample_idx", "y", "x", "value")
+    return assembly.crop_cells(planning.sample_chunks(_sealed(spark, sf_dir), 2), L.embedding_cells(spark, sf_dir)).select("batch_id", "sample_idx", "y", "x", "value")
 
 
 def _sealed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,12 +87,12 @@ def shard_range(spark, sf_dir):
 )
 def sample_shards(spark, sf_dir):
     c = F.col("shard_coord")
-    return planning.sample_shards(_ranged(spark, sf_dir)).select(F.col("sample_seq").alias("seq"), c[0].alias("shard_y"), c[1].alias("shard_x"), "ordinal")
+    return planning.sample_shards(_ranged(spark, sf_dir), 2).select(F.col("sample_seq").alias("seq"), c[0].alias("shard_y"), c[1].alias("shard_x"), "ordinal")
 
 
 @query(with_samples("SELECT seq, cy // 4 AS shard_y, cx // 2 AS shard_x, cy AS chunk_y, cx AS chunk_x, (cy % 4) * 2 + cx % 2 AS slot, cy - cy0 AS d_y, cx - cx0 AS d_x FROM chunks"))
 def sample_chunks(spark, sf_dir):
-    rows = planning.sample_chunks(_ranged(spark, sf_dir))
+    rows = planning.sample_chunks(_ranged(spark, sf_dir), 2)
     pairs = {"shard": "shard_coord", "chunk": "chunk_coord", "d": "chunk_d"}
     return rows.select(F.col("sample_seq").alias("seq"), "slot", *[F.col(c)[k].alias(f"{n}_{a}") for n, c in pairs.items() for k, a in enumerate("yx")])
 
@@ -116,7 +116,7 @@ def sample_plan_dims(spark, sf_dir):
 
 @query(with_samples("SELECT seq, cy AS chunk_y, cx AS chunk_x, greatest(y0, cy * 16) AS lo_y, least(y1, cy * 16 + 16) AS hi_y, greatest(x0, cx * 16) AS lo_x, least(x1, cx * 16 + 16) AS hi_x, (least(y1, cy * 16 + 16) - greatest(y0, cy * 16)) * (least(x1, cx * 16 + 16) - greatest(x0, cx * 16)) AS elements FROM chunks"))
 def chunk_box_clip(spark, sf_dir):
-    rows = planning.sample_chunks(_ranged(spark, sf_dir)).withColumn("clip", g.clip(F.col("aabb"), F.col("chunk_coord"), F.col("inner")))
+    rows = planning.sample_chunks(_ranged(spark, sf_dir), 2).withColumn("clip", g.clip(F.col("aabb"), F.col("chunk_coord"), F.col("inner")))
     c, k = F.col("clip"), F.col("chunk_coord")
     return rows.select(
         F.col("sample_seq").alias("seq"), k[0].alias("chunk_y"), k[1].alias("chunk_x"), c[0]["beg"].alias("lo_y"), c[0]["end"].alias("hi_y"),
@@ -133,7 +133,7 @@ def batch_seal_drop_last(spark, sf_dir):
 
 @query(with_samples(f"SELECT seq // {L.BATCH} AS batch_id, count(*) AS n, count(*) > 16 AS over FROM chunks WHERE seq // {L.BATCH} < (SELECT count(*) FROM smp) // {L.BATCH} GROUP BY 1"))
 def batch_chunk_cap(spark, sf_dir):
-    return planning.sample_chunks(_sealed(spark, sf_dir)).groupBy("batch_id").agg(F.count("*").alias("n"), (F.count("*") > 16).alias("over"))
+    return planning.sample_chunks(_sealed(spark, sf_dir), 2).groupBy("batch_id").agg(F.count("*").alias("n"), (F.count("*") > 16).alias("over"))
 
 
 @query(with_samples("SELECT seq, ((cy1 - 1) // 4 + 1 - cy0 // 4) * ((cx1 - 1) // 2 + 1 - cx0 // 2) AS n_shards, ((cy1 - 1) // 4 + 1 - cy0 // 4) * ((cx1 - 1) // 2 + 1 - cx0 // 2) <= 1 AS ok FROM grid"))
@@ -145,7 +145,7 @@ def max_shards_guard(spark, sf_dir):
 @query(with_samples("SELECT DISTINCT uri, cy // 4 AS shard_y, cx // 2 AS shard_x FROM chunks JOIN smp USING (seq)"))
 def distinct_keys(spark, sf_dir):
     c = F.col("shard_coord")
-    return planning.sample_shards(_ranged(spark, sf_dir)).select("uri", c[0].alias("shard_y"), c[1].alias("shard_x")).distinct()
+    return planning.sample_shards(_ranged(spark, sf_dir), 2).select("uri", c[0].alias("shard_y"), c[1].alias("shard_x")).distinct()
 
 
 @query(with_samples("SELECT seq, '[' || y0 || ',' || (y0 + 4) || ')x[' || x0 || ',' || (x0 + 5) || ')' AS box, uri || '/c/' || (y0 // 64) || '/' || (x0 // 32) AS path FROM smp"))
@@ -157,7 +157,7 @@ def box_text_and_path(spark, sf_dir):
 @query(with_samples("SELECT seq // 8 AS batch_id, seq % 8 AS sample_idx, y, x, CAST(0 AS FLOAT) AS value FROM smp, range(4) AS a(y), range(5) AS b(x) WHERE seq // 8 < (SELECT count(*) FROM smp) // 8"))
 def bypass_decode_fill(spark, sf_dir):
     """All chunks taken as fills: the same shapes without reading any cell."""
-    chunks = planning.sample_chunks(_sealed(spark, sf_dir))
+    chunks = planning.sample_chunks(_sealed(spark, sf_dir), 2)
     return assembly.fill_cells(chunks, F.lit(0.0).cast("float")).select("batch_id", "sample_idx", "y", "x", "value")
 
 
@@ -178,7 +178,7 @@ def assemble_lin_fill(spark, sf_dir):
         "FROM (SELECT o_orderkey, (o_orderkey * 7919) % ((SELECT count(*) FROM {orders}) - 3) AS y, (o_orderkey * 104729) % 5 AS x FROM {orders})",
         orders=orders,
     )
-    chunks = planning.sample_chunks(planning.sample_ranges(samples))
+    chunks = planning.sample_chunks(planning.sample_ranges(samples), 2)
     return assembly.sparse_cells(chunks, cells, 0.0).select(F.col("sample_seq").alias("seq"), "y", "x", "value")
 
 
@@ -193,7 +193,7 @@ def assemble_evt_rank1(spark, sf_dir):
         "SELECT o_orderkey AS sample_seq, array(named_struct('beg', x, 'end', x + 6)) AS aabb, array(256L) AS inner, array(1024L) AS shard FROM (SELECT o_orderkey, (o_orderkey * 7919) % ((SELECT count(*) FROM {events}) - 5) AS x FROM {orders})",
         orders=L.table(spark, sf_dir, "orders"), events=events,
     )
-    return assembly.rank1_cells(planning.sample_chunks(planning.sample_ranges(samples)), cells, 256).select(F.col("sample_seq").alias("seq"), "x", "value")
+    return assembly.rank1_cells(planning.sample_chunks(planning.sample_ranges(samples), 1), cells).select(F.col("sample_seq").alias("seq"), "x", "value")
 
 
 @query(

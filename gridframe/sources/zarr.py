@@ -215,7 +215,7 @@ def plan_crops(samples: DataFrame, shape: list[int], meta: DataFrame | None = No
     meta = scan_metadata(samples) if meta is None else meta
     checked = planning.validate_samples(samples, meta, shape).join(meta.select("uri", "codec", "sharded", "index_at_end", "fill_value", F.col("status").alias("meta_status")), "uri", "left")
     status = F.when(F.col("meta_status") != "OK", F.col("meta_status")).when(F.col("codec") == "blosc_lz4", "DECODE").otherwise(F.col("status"))
-    chunks = planning.sample_chunks(planning.sample_ranges(checked.withColumn("status", status).where("status = 'OK'")))
+    chunks = planning.sample_chunks(planning.sample_ranges(checked.withColumn("status", status).where("status = 'OK'")), len(shape))
     index = scan_indexes(chunks)
     return planning.load_or_fill(chunks, index, ["uri", "shard_coord", "slot"])
 

@@ -68,7 +68,7 @@ def test_fuse_matches_a_plain_loop(spark, loads, pages, chunks):
 
 def test_single_chunk_geometry(spark):
     row = spark.sql("SELECT 0L AS sample_seq, array(named_struct('beg', 2L, 'end', 4L), named_struct('beg', 0L, 'end', 4L)) AS aabb, array(2L, 4L) AS inner, array(4L, 8L) AS shard")
-    chunk = planning.sample_chunks(planning.sample_ranges(row)).collect()
+    chunk = planning.sample_chunks(planning.sample_ranges(row), 2).collect()
     assert [(c["chunk_coord"], c["shard_coord"], c["slot"], c["chunk_d"]) for c in chunk] == [([1, 0], [0, 0], 2, [0, 0])]
 
 
@@ -77,7 +77,7 @@ def test_single_chunk_geometry(spark):
 def test_chunks_cover_the_box_once(spark, axes):
     box = [{"beg": b, "end": b + n} for b, n, _ in axes]
     row = spark.createDataFrame([(0, box, [s for *_, s in axes], [2 * s for *_, s in axes])], "sample_seq bigint, aabb array<struct<beg:bigint,end:bigint>>, inner array<bigint>, shard array<bigint>")
-    clipped = planning.sample_chunks(planning.sample_ranges(row)).select(g.product(g.extents(g.clip(F.col("aabb"), F.col("chunk_coord"), F.col("inner")))).alias("n"))
+    clipped = planning.sample_chunks(planning.sample_ranges(row), len(axes)).select(g.product(g.extents(g.clip(F.col("aabb"), F.col("chunk_coord"), F.col("inner")))).alias("n"))
     assert clipped.agg(F.sum("n")).collect()[0][0] == int(np.prod([n for _, n, _ in axes]))
 
 
