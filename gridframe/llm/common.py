@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
+#: Entries that a memo of words or pieces holds before it starts anew; bounds a worker's memory.
+MEMO_ENTRIES = 500_000
 #: Rows that a task turns into Python objects at once; bounds a worker's memory whatever the Arrow batch size.
 SLICE_ROWS = 256
 
@@ -31,11 +37,28 @@ def written(df: DataFrame, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nobody holds any more. It does so when the driver collects its garbage, by itself perhaps half an hour later."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def crc_of_id(column: str) -> Column:
     """crc32 of an id written as text, which decides the folds; a null id counts as the empty string."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
 
 
+_memos: dict[str, object] = {}
+
+
+def memo(name: str, make: Callable[[], T]) -> T:
+    """The worker's memo of that name. Workers are reused, so it outlives a task; another name's memo takes its place, so a worker holds one."""
+    if name not in _memos:
+        _memos.clear()
+        _memos[name] = make()
+    return _memos[name]
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):

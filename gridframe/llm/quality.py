@@ -16,13 +16,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridframe.llm.common import slices, texts
+from gridframe.llm.common import MEMO_ENTRIES, memo, slices, texts
 from gridframe.llm.labelled import logistic, prior_shift, training_sample
 
 #: Labelled documents of each class that the fit takes at most.
 SAMPLE_PER_CLASS = 2000
 BITS = 18
-MEMO_WORDS = 1_000_000
 
 
 def shape(word: str) -> str:
@@ -41,13 +40,12 @@ class _Words(dict):
     """A word's two hashes: of its lower case and of its shape."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > MEMO_WORDS:
+        if len(self) > MEMO_ENTRIES:
             self.clear()
         value = self[word] = xxhash.xxh32_intdigest(word.lower()) << 32 | xxhash.xxh32_intdigest(shape(word))
         return value
 
 
-_words = _Words()
 _SALTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -59,9 +57,9 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def indicators(docs: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers and features, each pair once, ordered by row."""
-    words = [x.split() for x in docs]
+    known, words = memo("quality", _Words), [x.split() for x in docs]
     sizes = np.fromiter(map(len, words), np.int64, len(words))
-    both = np.fromiter((_words[w] for doc in words for w in doc), np.uint64, int(sizes.sum()))
+    both = np.fromiter((known[w] for doc in words for w in doc), np.uint64, int(sizes.sum()))
     row = np.repeat(np.arange(len(docs)), sizes)
     lower, form = both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)
     again = np.zeros(len(both), np.uint64)

@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from gridframe.llm.common import slices, texts
+from gridframe.llm.common import MEMO_ENTRIES, memo, slices, texts
 
 COUNT_VOCABULARY = "byte_bpe_50k.json"
 BPE_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -30,8 +30,6 @@ BPE_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Characters of a chunk and of the first overlap with the next one.
 CHUNK_CHARS = 1 << 16
 OVERLAP_CHARS = 1 << 10
-#: Distinct pieces remembered by a Python worker.
-MEMO_PIECES = 1_500_000
 
 _TWO_BLANKS = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=[!-~\w])(?=[ \n\t\r])")
@@ -72,14 +70,14 @@ def chunked_pieces(
 
 
 class Memo(dict):
-    """Encoded pieces. ``encode`` takes a list of new pieces; what it returns is kept, up to ``MEMO_PIECES``."""
+    """Encoded pieces. ``encode`` takes a list of new pieces; what it returns is kept, up to ``MEMO_ENTRIES``."""
 
     def __init__(self, encode: Callable[[list[str]], list]):
         super().__init__()
         self.encode = encode
 
     def learn(self, docs: list[list[str]]) -> None:
-        if len(self) > MEMO_PIECES:
+        if len(self) > MEMO_ENTRIES:
             self.clear()
         new = list(set().union(*docs).difference(self)) if docs else []
         for at in range(0, len(new), 4096):
@@ -87,9 +85,6 @@ class Memo(dict):
             self.update(zip(part, self.encode(part), strict=True))
 
 
-_memos: dict[tuple, Memo] = {}
-
-
 def vocabulary_path(name: str, path: str | None) -> str:
     if path:
         return path
@@ -98,11 +93,9 @@ def vocabulary_path(name: str, path: str | None) -> str:
     return public_tokenizers.path(name)
 
 
-def memo(kind: str, path: str | None, build: Callable[[str | None], Callable[[list[str]], list]]) -> Memo:
-    """The worker's memo for a vocabulary; workers are reused, so it outlives a task."""
-    if (kind, path) not in _memos:
-        _memos[kind, path] = Memo(build(path))
-    return _memos[kind, path]
+def library_memo(kind: str, path: str | None, build: Callable[[str | None], Callable[[list[str]], list]]) -> Memo:
+    """The worker's memo for a vocabulary."""
+    return memo(f"{kind} {path}", lambda: Memo(build(path)))
 
 
 def _counter(path: str | None) -> Callable[[list[str]], list[int]]:
@@ -123,7 +116,7 @@ def count_tokens(docs: DataFrame, limit: int = 1024, path: str | None = None) ->
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = memo("count", path, _counter)
+        known = library_memo("count", path, _counter)
         for b in slices(batches):
             cut = [chunked_pieces(x) for x in texts(b.column(1))]
             known.learn(cut)
@@ -155,7 +148,7 @@ def encode_bpe(docs: DataFrame, path: str | None = None) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = memo("encode", path, _encoder)
+        known = library_memo("encode", path, _encoder)
         for b in slices(batches):
             cut = [chunked_pieces(x) for x in texts(b.column(1))]
             known.learn(cut)
