@@ -22,31 +22,27 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridframe.llm.common import slices, written
+from gridframe.llm.common import MEMO_ENTRIES, memo, release_shuffles, slices, written
 
 WINDOW_WORDS = 13
 #: Words that a task hashes at once; bounds its arrays.
-FLUSH_WORDS = 1_500_000
-MEMO_WORDS = 1_000_000
+FLUSH_WORDS = 700_000
 
 BLOCK, ROLLING, SHARED_BLOCK, SHARED_ROLLING, RUNS, KEYS, WINDOWS, DOCUMENT, DONE = range(9)
-ROW = "slot int, kind int, bucket int, docs binary, counts binary, data binary, more binary"
-_NAMES = ["slot", "kind", "bucket", "docs", "counts", "data", "more"]
+ROW = "slot int, kind int, bucket int, docs binary, counts binary, data binary"
+_NAMES = ["slot", "kind", "bucket", "docs", "counts", "data"]
 
 _U32, _LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
 
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > MEMO_WORDS:
+        if len(self) > MEMO_ENTRIES:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 
 
-_hash = _WordHashes()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _U32)) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> _U32)) * np.uint64(0xD6E8FEB86659FD93)
@@ -76,7 +72,8 @@ class _Docs:
         self.ids = np.array(ids, np.int64)
         self.sizes = np.fromiter(map(len, words), np.int64, len(words))
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
-        self.hashes = np.fromiter((_hash[w] for doc in words for w in doc), np.uint64, int(self.sizes.sum()))
+        known = memo("substrings", _WordHashes)
+        self.hashes = np.fromiter((known[w] for doc in words for w in doc), np.uint64, int(self.sizes.sum()))
         self.row = np.repeat(np.arange(len(words)), self.sizes)
         self.place = np.arange(len(self.hashes)) - self.starts[self.row]
         # What was found at places of a row must not reach another row with the same id, so places travel with a key of both.
@@ -90,23 +87,22 @@ class _Docs:
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], _NAMES)
 
 
-def _packed(kind: int, bucket: int | None, group: np.ndarray, docs: np.ndarray, data: np.ndarray, more: np.ndarray | None = None) -> Iterator[tuple]:
+def _packed(kind: int, bucket: int | None, group: np.ndarray, docs: np.ndarray, data: np.ndarray) -> Iterator[tuple]:
     """A row per ``group``, which becomes its slot: entries by document, a document's id and number of entries once."""
     order = np.lexsort((docs, group))
     group, docs, data = group[order], docs[order], data[order]
-    more = None if more is None else more[order]
     cuts = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)]]) if len(group) else [0]
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         own = docs[a:b]
         first = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1])
         counts = np.diff(np.concatenate([first, [b - a]])).astype("<u4")
         slot = int(group[a])
-        yield slot, kind, slot if bucket is None else bucket, own[first].astype("<i8").tobytes(), counts.tobytes(), data[a:b].tobytes(), None if more is None else more[a:b].tobytes()
+        yield slot, kind, slot if bucket is None else bucket, own[first].astype("<i8").tobytes(), counts.tobytes(), data[a:b].tobytes()
 
 
 def _entries(row: tuple, dtype: str) -> tuple[np.ndarray, np.ndarray]:
@@ -294,13 +290,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, digest: bool = F
         for b in slices(batches):
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             slot = _doc_slots(ids, slots)
-            yield _batch([(int(s), DOCUMENT, 0, int(d).to_bytes(8, "little", signed=True), None, zip_.compress((t or "").encode()), None) for s, d, t in zip(slot, ids, b.column(1).to_pylist(), strict=True)])
+            yield _batch([(int(s), DOCUMENT, 0, int(d).to_bytes(8, "little", signed=True), None, zip_.compress((t or "").encode())) for s, d, t in zip(slot, ids, b.column(1).to_pylist(), strict=True)])
 
     def parts(df: DataFrame) -> DataFrame:
         return df.repartitionById(slots, "slot")
 
-    hits = parts(known.mapInArrow(probe, ROW)).mapInArrow(lambda it: _match_blocks(it, slots), ROW)
-
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """All windows around the hits; documents without any are done."""
         found, zip_ = _Found(), zstandard.ZstdCompressor(level=1)
@@ -318,8 +312,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, digest: bool = F
             waits = np.zeros(len(flush.ids), bool)
             if len(at):
                 waits[flush.row[at]] = True
+                # One hash travels, the other decides on the bucket: windows that meet by chance agree in 64 bits and a bucket.
                 one, two = (_rolling(flush.hashes, window, seed)[at] for seed in (101, 202))
-                two = (two & _LOW).astype("<u4")
                 ids = flush.ids[flush.row[at]]
                 order = np.lexsort((ids, two, one))
                 one, two, ids, at = one[order], two[order], ids[order], at[order]
@@ -329,33 +323,33 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, digest: bool = F
                 covered = np.sort(at[ids > least])
                 row, runs = _runs(flush.place[covered], flush.row[covered])
                 out += _packed(RUNS, 0, _doc_slots(flush.ids[row], slots), flush.keys[row], runs)
-                out += _packed(WINDOWS, None, _slot(one[first], slots), ids[first], one[first].astype("<u8"), two[first])
+                out += _packed(WINDOWS, None, _slot(two[first], slots), ids[first], one[first].astype("<u8"))
             for k, words in enumerate(flush.words):
                 doc = int(flush.ids[k]).to_bytes(8, "little", signed=True)
                 if waits[k]:
-                    out.append((int(_doc_slots(flush.ids[k : k + 1], slots)[0]), DOCUMENT, 0, doc, None, zip_.compress(b" ".join(words)), None))
+                    out.append((int(_doc_slots(flush.ids[k : k + 1], slots)[0]), DOCUMENT, 0, doc, None, zip_.compress(b" ".join(words))))
                 else:
                     _, n, _, kept = _result(None, words, None, digest)
-                    out.append((0, DONE, 0, doc, n.to_bytes(8, "little"), kept.encode() if digest else zip_.compress(kept.encode()), None))
+                    out.append((0, DONE, 0, doc, n.to_bytes(8, "little"), kept.encode() if digest else zip_.compress(kept.encode())))
             for k in range(0, len(out), 256):
                 yield _batch(out[k : k + 256])
 
-    stage = written(parts(hits.unionByName(known.mapInArrow(send, ROW))).sortWithinPartitions("kind").mapInArrow(extend, ROW))
+    def anchored() -> DataFrame:
+        hits = parts(known.mapInArrow(probe, ROW)).mapInArrow(lambda it: _match_blocks(it, slots), ROW)
+        return written(parts(hits.unionByName(known.mapInArrow(send, ROW))).sortWithinPartitions("kind").mapInArrow(extend, ROW))
+
+    stage = anchored()
+    release_shuffles(spark)
 
     def match_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """In one bucket: windows of which an earlier document has the same go back to the documents."""
-        one, two, docs = [], [], []
-        for row in _rows(batches):
-            d, k = _entries(row, "<u8")
-            one.append(k)
-            two.append(np.frombuffer(row[6], "<u4"))
-            docs.append(d)
-        if not one:
+        entries = [_entries(row, "<u8") for row in _rows(batches)]
+        if not entries:
             return
-        a, b, doc = (np.concatenate(x) for x in (one, two, docs))
-        order = np.lexsort((doc, b, a))
-        a, b, doc = a[order], b[order], doc[order]
-        first = np.concatenate([[0], np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1])
+        doc, a = (np.concatenate(x) for x in zip(*entries, strict=True))
+        order = np.lexsort((doc, a))
+        a, doc = a[order], doc[order]
+        first = np.concatenate([[0], np.flatnonzero(a[1:] != a[:-1]) + 1])
         late = doc > np.repeat(doc[first], np.diff(np.concatenate([first, [len(a)]])))
         rows = list(_packed(KEYS, 0, _doc_slots(doc[late], slots), doc[late], a[late]))
         for at in range(0, len(rows), 64):
