@@ -265,12 +265,12 @@ def _result(doc: int | None, words: list[bytes], keep: np.ndarray | None, digest
     return doc, len(words), len(words) - len(kept), hashlib.sha256(text).hexdigest() if digest else text.decode("utf-8", "replace")
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, digest: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, digest: bool = False, changed_only: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) for every row of ``docs(doc_id, text)``.
 
     Words are runs without ASCII white space. A word goes if it lies in ``window`` words in a row that also start
     somewhere in a document with a smaller doc_id; that is judged on the input, not on what is left. ``kept`` is the
-    rest, joined by single blanks, or with ``digest`` the hexadecimal SHA-256 of its UTF-8, which spares keeping texts.
+    rest, joined by single blanks, or with ``digest`` the hexadecimal SHA-256 of its UTF-8, which spares keeping texts. With ``changed_only`` rows that lose nothing are left out, and so are their texts on the way.
     A null text has no words. A row without doc_id neither loses words nor makes others lose any. Rows with the same
     doc_id are one document in two parts: neither takes from the other. An empty table gives no rows.
     """
@@ -328,7 +328,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, digest: bool = F
                 doc = int(flush.ids[k]).to_bytes(8, "little", signed=True)
                 if waits[k]:
                     out.append((int(_doc_slots(flush.ids[k : k + 1], slots)[0]), DOCUMENT, 0, doc, None, zip_.compress(b" ".join(words))))
-                else:
+                elif not changed_only:
                     _, n, _, kept = _result(None, words, None, digest)
                     out.append((0, DONE, 0, doc, n.to_bytes(8, "little"), kept.encode() if digest else zip_.compress(kept.encode())))
             for k in range(0, len(out), 256):
@@ -385,6 +385,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, digest: bool = F
     late = parts(stage.where(f"kind = {WINDOWS}")).mapInArrow(match_windows, ROW)
     back = parts(late.unionByName(stage.where(f"kind IN ({RUNS}, {DOCUMENT})"))).sortWithinPartitions("kind")
     finished = back.mapInArrow(finish, result)
+    if changed_only:
+        return finished.where("n_removed > 0")
     return finished.unionByName(stage.where(f"kind = {DONE}").mapInArrow(done, result)).unionByName(rows.where("doc_id IS NULL").mapInArrow(nameless, result))
 
 
@@ -393,7 +395,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
 
     A document whose id repeats has its rows' texts judged each for itself but takes the result of one of them.
     """
-    changed = remove_repeats(docs, window).where("n_removed > 0").groupBy("doc_id").agg(F.min("kept").alias("_kept"))
+    changed = remove_repeats(docs, window, changed_only=True).groupBy("doc_id").agg(F.min("kept").alias("_kept"))
     joined = docs.join(changed, "doc_id", "left")
     new = {"text": F.coalesce("_kept", "text")} | ({"n_chars": F.when(F.col("_kept").isNotNull(), F.length("_kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return joined.withColumns(new).select(*docs.columns)
