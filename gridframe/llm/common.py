@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from typing import TypeVar
@@ -39,8 +40,10 @@ def written(df: DataFrame, **options: str) -> DataFrame:
 
 def release_shuffles(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that nobody holds any more. It does so when the driver collects its garbage, by itself perhaps half an hour later."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first round frees what holds the plans, the second the plans
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 def crc_of_id(column: str) -> Column:
