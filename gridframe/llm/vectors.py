@@ -119,13 +119,13 @@ def _search_row(queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, x:
             scores = _products(queries[own], x[blocks[block]])
             names = ids[blocks[block]]
             for q, s in zip(own, scores, strict=True):
-                keep = np.flatnonzero(s >= np.partition(s, -k - 1)[-k - 1]) if len(s) > k + 1 else np.arange(len(s))
+                other = names != query_ids[q]  # however many rows the query has here, none of them takes a candidate's place
+                s, own_names = s[other], names[other]
+                keep = np.flatnonzero(s >= np.partition(s, -k)[-k]) if len(s) > k else np.arange(len(s))
                 if len(keep) > 4 * k:  # many ties at the edge: only the smallest ids of equal scores can be among the k
-                    keep = np.lexsort((names, -s))[: 2 * k + 2] if len(np.unique(names)) == len(names) else np.lexsort((names, -s))
+                    keep = np.lexsort((own_names, -s))[:k]
                 for j in keep:
-                    if names[j] == query_ids[q]:
-                        continue
-                    item = (int(s[j]), -int(names[j]))
+                    item = (int(s[j]), -int(own_names[j]))
                     if len(best[q]) < k:
                         heapq.heappush(best[q], item)
                     elif item > best[q][0]:

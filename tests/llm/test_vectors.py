@@ -105,3 +105,21 @@ def test_recall_on_the_table(spark):
     want = {(q, i) for q, _, i, _ in best(ids, x, 20, 20, False)}
     got = {(r["query_id"], r["vec_id"]) for r in vectors.nearest(frame).collect()}
     assert len(got & want) >= 0.9 * len(want)
+
+
+@pytest.mark.parametrize("copies", [3, 20])
+def test_a_repeated_query_takes_no_candidate_away(spark, copies):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(100, 8)).astype(np.float32)
+    x[0] *= 9  # the copies score above all others
+    data = list(enumerate(x)) + [(0, x[0])] * (copies - 1)
+    got = [tuple(r) for r in vectors.exact_top_k(table(spark, data, 1), 10, 100).collect()]
+    ids, y = whole(list(enumerate(x)))
+    assert len(got) == 10 and set(got) == best(ids, y, 100, 10, True)
+
+
+def test_repeated_queries_among_many_ties():
+    ids = np.array([5] * 30 + list(range(100, 200)), np.int64)
+    x = np.ones((len(ids), 2))
+    found = set(zip(*vectors._search_row(x[:1], ids[:1], ids, x, 10), strict=True))
+    assert found == {(5, k, 2) for k in range(100, 110)}
