@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from gridframe.llm.common import MEMO_ENTRIES, memo, slices, texts
 from gridframe.llm.labelled import logistic, prior_shift, training_sample
 
-#: Labelled documents of each class, and tokens of one document, that the fit takes at most.
+#: Labelled documents of each class, and their tokens together, that the fit takes at most. Documents are taken whole.
 SAMPLE_PER_CLASS = 2000
-SAMPLE_TOKENS = 800
+SAMPLE_TOKENS = 1_000_000
 BITS = 20
 #: Lengths of word beginnings that are features.
 PREFIXES = (4, 5, 6, 7, 8)
@@ -57,9 +57,9 @@ def toxic_forms(docs: list[list[str]], y: np.ndarray) -> set[str]:
     """Forms that mark toxic documents, from document frequencies; chance alone gives none of this many and no others."""
     counts, n, seen = [Counter(), Counter()], [1, 1], set()
     for words, label in zip(docs, y, strict=True):
-        if (start := tuple(words[3:8])) in seen:  # a copy of a document counts once
+        if (copy := (int(label), xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "replace")))) in seen:  # a copy counts once in its class
             continue
-        seen.add(start)
+        seen.add(copy)
         n[label] += 1
         counts[label].update({f for w in set(words) for f in forms(w)[:-1]})
     least = max(4, math.log(CHANCE) / math.log(n[1] / sum(n)))
@@ -187,9 +187,20 @@ def summary(p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.column_stack([np.log(top / (1 - top)), np.log1p(strong)])
 
 
+def affordable(sizes: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Places of the documents that the fit takes, in their order: each class's whole documents as they fit in the tokens left."""
+    left, taken = [SAMPLE_TOKENS, SAMPLE_TOKENS], []
+    for k, (n, label) in enumerate(zip(sizes.tolist(), y.tolist(), strict=True)):
+        if n <= left[label]:
+            left[label] -= n
+            taken.append(k)
+    return np.array(taken, np.int64)
+
+
 def fit_model(docs: list[str], y: np.ndarray, sizes: dict[int, int]) -> dict:
     """Weights, transitions and calibration; without both classes, or without any marking form, the smoothed share of label 1."""
-    words = [x.split()[:SAMPLE_TOKENS] for x in docs]
+    taken = affordable(np.array([len(x.split()) for x in docs], np.int64), y)
+    words, y = [docs[k].split() for k in taken], y[taken]
     marked = toxic_forms(words, y) if len(y) else set()
     share = (sizes.get(1, 0) + 1) / (sizes.get(0, 0) + sizes.get(1, 0) + 2)
     empty = {"w": np.zeros(1 << BITS, np.float32), "t": np.zeros((3, 2)), "c": np.array([0, 0, np.log(share / (1 - share))])}
@@ -217,7 +228,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learnable: Column, per
     sample, sizes = training_sample(docs, labels, label, learnable, per_class)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((x or "", y) for b in batches for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        rows = [(x or "", y) for b in batches for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        rows.sort(key=lambda r: (xxhash.xxh64_intdigest(r[0].encode("utf-8", "replace")), r))
         m = fit_model([x for x, _ in rows], np.array([y for _, y in rows], np.int64), sizes)
         yield pa.RecordBatch.from_pydict({"w": [m["w"].tobytes()], "t": [m["t"].tobytes()], "c": [m["c"].tobytes()]})
 

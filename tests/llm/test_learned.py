@@ -90,3 +90,23 @@ def test_sample_is_bounded_and_clean(spark):
     sample, sizes = labelled.training_sample(docs, labels, "quality", F.lit(True), 10)
     assert sample.groupBy("label").count().orderBy("label").collect() == [(0, 10), (1, 10)]
     assert sizes == {0: 40, 1: 40}  # without the null, the odd value and the id with both labels, with the unknown document
+
+
+def test_only_whole_copies_of_one_class_count_once():
+    head = "a common header of five words"
+    clean = [f"{head} plain{k} talk" for k in range(40)]
+    toxic = [f"{head} vile{k} nasty" for k in range(40)]
+    docs, y = [x.split() for x in clean + toxic], np.array([0] * 40 + [1] * 40)
+    assert "wnasty" in toxicity.toxic_forms(docs, y)
+    again = [docs[-1]] * 40 + docs[:40]
+    assert not toxicity.toxic_forms(again, np.array([1] * 40 + [0] * 40))
+
+
+def test_training_reads_to_the_end_of_a_text(monkeypatch):
+    docs = [" ".join(["calm"] * 1000 + [word, f"n{k}"]) for word in ("kind", "nasty") for k in range(30)]
+    y = np.repeat([0, 1], 30)
+    model = toxicity.fit_model(docs, y, {0: 30, 1: 30})
+    score = toxicity.Scorer(model).score(["a nasty one", "a kind one"])[0]
+    assert score[0] > 0.5 > score[1]
+    monkeypatch.setattr(toxicity, "SAMPLE_TOKENS", 10)
+    assert toxicity.affordable(np.array([6, 7, 4, 9]), np.array([0, 0, 0, 1])).tolist() == [0, 2, 3]
