@@ -13,11 +13,16 @@ def remainder(divisor: int) -> Column:
     return F.pmod(crc_of_id("doc_id"), F.lit(divisor))
 
 
+def labels_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``labels`` whose document ``docs`` has."""
+    return labels.join(docs.select(F.col("doc_id").cast("long")), "doc_id", "left_semi")
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, learnable: Column, per_class: int) -> tuple[DataFrame, dict[int, int]]:
     """At most ``per_class`` documents of each class, as (text, label), and the classes' sizes over all labelled rows.
 
-    Rows are chosen by a hash of their id, so the choice neither depends on their order nor grows with the input. Null
-    labels, other values than 0 and 1, and ids with both labels are left out.
+    Rows are chosen among those that ``docs`` has, by a hash of their id, so the choice neither depends on their order
+    nor grows with the input. Null labels, other values than 0 and 1, and ids with both labels are left out.
     """
     known = (
         labels.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("label"))
@@ -29,7 +34,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, learnable: C
         .select("doc_id", "label")
     )
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows at most
-    picked = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
+    here = labels_of(docs, known)
+    picked = [here.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
     few = F.broadcast(picked[0].unionByName(picked[1]))  # 2 * per_class rows of an id and a label
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(few, "doc_id")
     return texts.groupBy("doc_id").agg(F.first("text").alias("text"), F.first("label").alias("label")).select("text", "label"), sizes

@@ -110,3 +110,12 @@ def test_training_reads_to_the_end_of_a_text(monkeypatch):
     assert score[0] > 0.5 > score[1]
     monkeypatch.setattr(toxicity, "SAMPLE_TOKENS", 10)
     assert toxicity.affordable(np.array([6, 7, 4, 9]), np.array([0, 0, 0, 1])).tolist() == [0, 2, 3]
+
+
+def test_labels_of_other_documents_take_no_place(spark):
+    docs, labels = small(spark)
+    some = docs.where("doc_id BETWEEN 60 AND 79")
+    sample, _ = labelled.training_sample(some, labels, "quality", F.lit(True), 10)
+    assert sample.groupBy("label").count().orderBy("label").collect() == [(0, 10), (1, 10)]
+    known = labelled.labels_of(some, labels)
+    assert labelled.training_sample(some, known, "quality", F.lit(True), 10)[1] == {0: 10, 1: 10}
