@@ -265,12 +265,19 @@ def _result(doc: int | None, words: list[bytes], keep: np.ndarray | None, digest
     return doc, len(words), len(words) - len(kept), hashlib.sha256(text).hexdigest() if digest else text.decode("utf-8", "replace")
 
 
+def _words_hash(words: list[bytes]) -> int:
+    """As Spark's xxhash64 of the text with single blanks."""
+    h = xxhash.xxh64_intdigest(b" ".join(words), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, digest: bool = False, changed_only: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) for every row of ``docs(doc_id, text)``.
 
     Words are runs without ASCII white space. A word goes if it lies in ``window`` words in a row that also start
     somewhere in a document with a smaller doc_id; that is judged on the input, not on what is left. ``kept`` is the
-    rest, joined by single blanks, or with ``digest`` the hexadecimal SHA-256 of its UTF-8, which spares keeping texts. With ``changed_only`` rows that lose nothing are left out, and so are their texts on the way.
+    rest, joined by single blanks, or with ``digest`` the hexadecimal SHA-256 of its UTF-8, which spares keeping texts. With ``changed_only`` rows that lose nothing are left out, and so are their texts on the way;
+    a fifth column, ``words_hash``, tells rows of one doc_id apart: xxhash64 of all words joined by single blanks.
     A null text has no words. A row without doc_id neither loses words nor makes others lose any. Rows with the same
     doc_id are one document in two parts: neither takes from the other. An empty table gives no rows.
     """
@@ -278,7 +285,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, digest: bool = F
     slots, block = int(spark.conf.get("spark.sql.shuffle.partitions")), (window + 1) // 2
     rows = docs.selectExpr("CAST(doc_id AS BIGINT) doc_id", "CAST(text AS STRING) text")
     known = rows.where("doc_id IS NOT NULL")
-    result = "doc_id long, n_words long, n_removed long, kept string"
+    result = "doc_id long, n_words long, n_removed long, kept string" + (", words_hash long" if changed_only else "")
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = ((d, (t or "").encode()) for b in slices(batches) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
@@ -365,12 +372,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, digest: bool = F
             edge[: len(starts)] += starts
             edge[window:] -= starts
             keep = np.cumsum(edge)[: len(starts)] == 0
-            yield from results([_result(int(d), w, keep[a:b], digest) for d, w, a, b in zip(flush.ids, flush.words, flush.starts, flush.starts[1:], strict=False)])
+            rows = [_result(int(d), w, keep[a:b], digest) for d, w, a, b in zip(flush.ids, flush.words, flush.starts, flush.starts[1:], strict=False)]
+            yield from results([(*r, _words_hash(w)) for r, w in zip(rows, flush.words, strict=True)] if changed_only else rows)
 
     def results(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         for k in range(0, len(rows), 256):
-            columns = zip(*rows[k : k + 256], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "n_words", "n_removed", "kept"])
+            columns = list(zip(*rows[k : k + 256], strict=True))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())[: len(columns)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "n_words", "n_removed", "kept", "words_hash"][: len(columns)])
 
     def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
@@ -393,9 +402,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, digest: bool = F
 def deduplicated(docs: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
     """``docs`` with every text that lost words replaced by what is kept and n_chars by its length; other rows as they are.
 
-    A document whose id repeats has its rows' texts judged each for itself but takes the result of one of them.
+    Where an id repeats, each row takes its own result, found by id and words; rows that agree in both have one result.
+    A row without an id stays as it is.
     """
-    changed = remove_repeats(docs, window, changed_only=True).groupBy("doc_id").agg(F.min("kept").alias("_kept"))
-    joined = docs.join(changed, "doc_id", "left")
+    changed = remove_repeats(docs, window, changed_only=True).groupBy(F.col("doc_id").alias("_id"), F.col("words_hash").alias("_hash")).agg(F.min("kept").alias("_kept"))
+    words_hash = F.xxhash64(F.trim(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[ \t\n\x0B\f\r]+", " ")))
+    joined = docs.join(changed, (F.col("doc_id").cast("long") == F.col("_id")) & (words_hash == F.col("_hash")), "left")
     new = {"text": F.coalesce("_kept", "text")} | ({"n_chars": F.when(F.col("_kept").isNotNull(), F.length("_kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return joined.withColumns(new).select(*docs.columns)

@@ -51,3 +51,11 @@ def test_pipeline_form_and_empty_table(spark):
     got = {r["doc_id"]: (r["text"], r["lang"], r["n_chars"]) for r in substrings.deduplicated(frame).collect()}
     assert got == {1: (text, "en", 90), 2: ("before after", "en", 12), 3: (None, None, None), 4: (" keeps  blanks ", "de", 15)}
     assert substrings.remove_repeats(frame.limit(0)).count() == 0
+
+
+def test_rows_of_one_id_keep_their_own_texts(spark):
+    text, other = (" ".join(f"{x}{k}" for k in range(30)) for x in "tu")
+    rows = [(1, text), (2, f" before\t{text}\n"), (2, other), (2, f"after {text}"), (None, text), (None, f"x {text}"), (3, f"{text}  {text} z")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(repr(tuple(r)) for r in substrings.deduplicated(frame).collect())
+    assert got == sorted(map(repr, [(1, text), (2, "before"), (2, other), (2, "after"), (None, text), (None, f"x {text}"), (3, "z")]))
