@@ -26,7 +26,7 @@ from gridframe.llm.labelled import logistic, prior_shift, training_sample
 
 #: Labelled documents of each class, and their tokens together, that the fit takes at most. Documents are taken whole.
 SAMPLE_PER_CLASS = 2000
-SAMPLE_TOKENS = 1_000_000
+SAMPLE_TOKENS = 400_000
 BITS = 20
 #: Lengths of word beginnings that are features.
 PREFIXES = (4, 5, 6, 7, 8)
@@ -188,12 +188,15 @@ def summary(p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def affordable(sizes: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Places of the documents that the fit takes, in their order: each class's whole documents as they fit in the tokens left."""
+    """Places of the documents that the fit takes, in their order: each class's whole documents until the next is too long
+    for the tokens left; one that all the tokens would not hold is passed over."""
     left, taken = [SAMPLE_TOKENS, SAMPLE_TOKENS], []
     for k, (n, label) in enumerate(zip(sizes.tolist(), y.tolist(), strict=True)):
         if n <= left[label]:
             left[label] -= n
             taken.append(k)
+        elif n <= SAMPLE_TOKENS:
+            left[label] = -1
     return np.array(taken, np.int64)
 
 

@@ -109,7 +109,7 @@ def test_training_reads_to_the_end_of_a_text(monkeypatch):
     score = toxicity.Scorer(model).score(["a nasty one", "a kind one"])[0]
     assert score[0] > 0.5 > score[1]
     monkeypatch.setattr(toxicity, "SAMPLE_TOKENS", 10)
-    assert toxicity.affordable(np.array([6, 7, 4, 9]), np.array([0, 0, 0, 1])).tolist() == [0, 2, 3]
+    assert toxicity.affordable(np.array([11, 6, 7, 4, 9]), np.array([0, 0, 0, 0, 1])).tolist() == [1, 4]
 
 
 def test_labels_of_other_documents_take_no_place(spark):
