@@ -7,13 +7,20 @@ full, and the windows that an earlier document has too join to the maximal repea
 
 Hashes travel as packed arrays, one row per task and bucket of hashes, and a task sends a hash once, however many of its
 documents have it: a passage that a third of all documents share costs its bucket one entry per task. What was found
-travels back to the documents, which meanwhile wait in parts by a hash of their id. All tasks stream their rows.
+travels to the documents, which are dealt over groups by a hash of their id. The number of buckets and groups follows
+from the bytes of text, so one holds about ``GROUP_BYTES`` of it whatever the input; a task takes its buckets, or groups,
+one after another in sorted order and holds one at a time.
+
+A block hash counts as 32 bits and its bucket: it only nominates. A window is told apart by a 64-bit hash and, by
+another hash, its bucket. Two different windows are then taken for one with a probability of 1 in 2^64 times the
+buckets: among the 5e9 windows of 60 GB of text 2e-4 such pairs are expected, among those of 100 TB about 1.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +29,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridframe.llm.common import MEMO_ENTRIES, memo, release_shuffles, slices, written
+from gridframe.llm.common import MEMO_ENTRIES, MEMO_ENTRY_BYTES, memo, scratch, slices, written
 
 WINDOW_WORDS = 13
 #: Words that a task hashes at once; bounds its arrays.
 FLUSH_WORDS = 700_000
+#: Bytes of text whose hashes make a bucket, and of the documents of a group.
+GROUP_BYTES = 32 << 20
 
 BLOCK, ROLLING, SHARED_BLOCK, SHARED_ROLLING, RUNS, KEYS, WINDOWS, DOCUMENT, DONE = range(9)
 ROW = "slot int, kind int, bucket int, docs binary, counts binary, data binary"
@@ -37,9 +46,11 @@ _U32, _LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > MEMO_ENTRIES:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= MEMO_ENTRY_BYTES:
+            if len(self) > MEMO_ENTRIES:
+                self.clear()
+            self[word] = value
         return value
 
 
@@ -164,40 +175,38 @@ def _probe(flush: _Docs, block: int, slots: int) -> Iterator[tuple]:
     yield from _packed(RUNS, 0, _doc_slots(flush.ids[rows], slots), flush.keys[rows], runs)
 
 
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """The rows of one slot after another; they come sorted by slot."""
+    for slot, rows in groupby(_rows(batches), lambda row: row[0]):
+        yield slot, list(rows)
+
+
 def _match_blocks(batches: Iterator[pa.RecordBatch], slots: int) -> Iterator[pa.RecordBatch]:
-    """In one bucket: keys that are a block of one entry and occur in another go back to the entries' documents."""
-    keys, docs, blocks, single, bucket = [], [], [], [], 0
-    for row in _rows(batches):
-        kind = row[1]
-        if kind == RUNS:
-            yield _batch([row])
-            continue
-        bucket = row[0]
-        d, k = _entries(row, "<u4")
-        docs.append(d)
-        keys.append(k)
-        blocks.append(np.full(len(k), kind in (BLOCK, SHARED_BLOCK)))
-        single.append(np.full(len(k), kind in (BLOCK, ROLLING)))
-    if not keys:
+    """In each bucket: keys that are a block of one entry and occur in another go back to the entries' documents."""
+    for bucket, rows in _buckets(batches):
+        passed = [row for row in rows if row[1] == RUNS]
+        if passed:
+            yield _batch(passed)
+        yield from _matched(bucket, [row for row in rows if row[1] != RUNS], slots)
+
+
+def _matched(bucket: int, rows: list[tuple], slots: int) -> Iterator[pa.RecordBatch]:
+    if not rows:
         return
-    key, doc, block, one = (np.concatenate(x) for x in (keys, docs, blocks, single))
-    del keys, docs, blocks, single
+    docs, keys = (list(x) for x in zip(*(_entries(row, "<u4") for row in rows), strict=True))
+    kinds = np.repeat([row[1] for row in rows], [len(k) for k in keys])
+    key, doc = np.concatenate(keys), np.concatenate(docs)
+    del keys, docs
     order = np.argsort(key, kind="stable")
-    key = key[order]
-    first = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
+    sorted_key = key[order]
+    first = np.concatenate([[0], np.flatnonzero(sorted_key[1:] != sorted_key[:-1]) + 1])
     size = np.diff(np.concatenate([first, [len(key)]]))
-    hit = (size > 1) & np.logical_or.reduceat(block[order], first)
+    hit = (size > 1) & np.logical_or.reduceat(np.isin(kinds, (BLOCK, SHARED_BLOCK))[order], first)
     chosen = order[np.repeat(hit, size)]
-    chosen = chosen[one[chosen]]
-    rows = list(_packed(KEYS, bucket, _doc_slots(doc[chosen], slots), doc[chosen], np.zeros(0, "<u4") if not len(chosen) else _unsorted(key, order)[chosen]))
-    for at in range(0, len(rows), 64):
-        yield _batch(rows[at : at + 64])
-
-
-def _unsorted(values: np.ndarray, order: np.ndarray) -> np.ndarray:
-    out = np.empty_like(values)
-    out[order] = values
-    return out
+    chosen = chosen[np.isin(kinds[chosen], (BLOCK, ROLLING))]
+    found = list(_packed(KEYS, bucket, _doc_slots(doc[chosen], slots), doc[chosen], key[chosen]))
+    for at in range(0, len(found), 64):
+        yield _batch(found[at : at + 64])
 
 
 class _Found:
@@ -246,17 +255,25 @@ class _Found:
         return out
 
 
-def _doc_rows(batches: Iterator[pa.RecordBatch], found: _Found, dtype: str) -> Iterator[tuple[int | None, bytes]]:
-    """The documents of a part; what has come back sorts before them and is taken in on the way."""
-    sealed, unzip = False, zstandard.ZstdDecompressor()
-    for row in _rows(batches):
-        if row[1] != DOCUMENT:
-            found.add(row, dtype)
-            continue
-        if not sealed:
-            found.seal()
-            sealed = True
-        yield int.from_bytes(row[3], "little", signed=True), unzip.decompress(row[5])
+def _found_flushes(batches: Iterator[pa.RecordBatch], dtype: str) -> Iterator[tuple[_Found, _Docs]]:
+    """The documents of one group after another, with what was found in them; that sorts before them."""
+    unzip = zstandard.ZstdDecompressor()
+    for _, rows in groupby(_rows(batches), lambda row: row[0]):
+        found = _Found()
+
+        def documents(rows: Iterator[tuple] = rows, found: _Found = found) -> Iterator[tuple[int, bytes]]:
+            sealed = False
+            for row in rows:
+                if row[1] != DOCUMENT:
+                    found.add(row, dtype)
+                    continue
+                if not sealed:
+                    found.seal()
+                    sealed = True
+                yield int.from_bytes(row[3], "little", signed=True), unzip.decompress(row[5])
+
+        for flush in _flushes(documents()):
+            yield found, flush
 
 
 def _result(doc: int | None, words: list[bytes], keep: np.ndarray | None, digest: bool) -> tuple:
@@ -276,15 +293,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, digest: bool = F
 
     Words are runs without ASCII white space. A word goes if it lies in ``window`` words in a row that also start
     somewhere in a document with a smaller doc_id; that is judged on the input, not on what is left. ``kept`` is the
-    rest, joined by single blanks, or with ``digest`` the hexadecimal SHA-256 of its UTF-8, which spares keeping texts. With ``changed_only`` rows that lose nothing are left out, and so are their texts on the way;
+    rest, joined by single blanks, or with ``digest`` the hexadecimal SHA-256 of its UTF-8, which spares keeping texts.
+    With ``changed_only`` rows that lose nothing are left out, and so are their texts on the way;
     a fifth column, ``words_hash``, tells rows of one doc_id apart: xxhash64 of all words joined by single blanks.
     A null text has no words. A row without doc_id neither loses words nor makes others lose any. Rows with the same
     doc_id are one document in two parts: neither takes from the other. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    slots, block = int(spark.conf.get("spark.sql.shuffle.partitions")), (window + 1) // 2
     rows = docs.selectExpr("CAST(doc_id AS BIGINT) doc_id", "CAST(text AS STRING) text")
     known = rows.where("doc_id IS NOT NULL")
+    tasks, block = int(spark.conf.get("spark.sql.shuffle.partitions")), (window + 1) // 2
+    size = known.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).collect()[0][0]  # one number
+    slots = max(tasks, -(-size // GROUP_BYTES))
     result = "doc_id long, n_words long, n_removed long, kept string" + (", words_hash long" if changed_only else "")
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,12 +320,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, digest: bool = F
             yield _batch([(int(s), DOCUMENT, 0, int(d).to_bytes(8, "little", signed=True), None, zip_.compress((t or "").encode())) for s, d, t in zip(slot, ids, b.column(1).to_pylist(), strict=True)])
 
     def parts(df: DataFrame) -> DataFrame:
-        return df.repartitionById(slots, "slot")
+        """Slots in order within tasks, and kinds in order within slots."""
+        dealt = df.repartitionById(tasks, F.expr(f"CAST(slot * {tasks}L DIV {slots} AS INT)"))
+        return dealt.sortWithinPartitions("slot", "kind")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """All windows around the hits; documents without any are done."""
-        found, zip_ = _Found(), zstandard.ZstdCompressor(level=1)
-        for flush in _flushes(_doc_rows(batches, found, "<u4")):
+        zip_ = zstandard.ZstdCompressor(level=1)
+        for found, flush in _found_flushes(batches, "<u4"):
             out: list[tuple] = []
             at = flush.whole(block)
             key = _rolling(flush.hashes, block, block)[at] if len(at) else np.zeros(0, np.uint64)
@@ -341,30 +363,25 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, digest: bool = F
             for k in range(0, len(out), 256):
                 yield _batch(out[k : k + 256])
 
-    def anchored() -> DataFrame:
-        hits = parts(known.mapInArrow(probe, ROW)).mapInArrow(lambda it: _match_blocks(it, slots), ROW)
-        return written(parts(hits.unionByName(known.mapInArrow(send, ROW))).sortWithinPartitions("kind").mapInArrow(extend, ROW))
-
-    stage = anchored()
-    release_shuffles(spark)
+    # The hits are a table before the documents move, and the table goes when they have: no two shuffles wait on disk at once.
+    with scratch(spark) as held:
+        hits = held(parts(known.mapInArrow(probe, ROW)).mapInArrow(lambda it: _match_blocks(it, slots), ROW))
+        stage = written(parts(hits.unionByName(known.mapInArrow(send, ROW))).mapInArrow(extend, ROW))
 
     def match_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """In one bucket: windows of which an earlier document has the same go back to the documents."""
-        entries = [_entries(row, "<u8") for row in _rows(batches)]
-        if not entries:
-            return
-        doc, a = (np.concatenate(x) for x in zip(*entries, strict=True))
-        order = np.lexsort((doc, a))
-        a, doc = a[order], doc[order]
-        first = np.concatenate([[0], np.flatnonzero(a[1:] != a[:-1]) + 1])
-        late = doc > np.repeat(doc[first], np.diff(np.concatenate([first, [len(a)]])))
-        rows = list(_packed(KEYS, 0, _doc_slots(doc[late], slots), doc[late], a[late]))
-        for at in range(0, len(rows), 64):
-            yield _batch(rows[at : at + 64])
+        """In each bucket: windows of which an earlier document has the same go back to the documents."""
+        for _, rows in _buckets(batches):
+            doc, a = (np.concatenate(x) for x in zip(*(_entries(row, "<u8") for row in rows), strict=True))
+            order = np.lexsort((doc, a))
+            a, doc = a[order], doc[order]
+            first = np.concatenate([[0], np.flatnonzero(a[1:] != a[:-1]) + 1])
+            late = doc > np.repeat(doc[first], np.diff(np.concatenate([first, [len(a)]])))
+            back = list(_packed(KEYS, 0, _doc_slots(doc[late], slots), doc[late], a[late]))
+            for at in range(0, len(back), 64):
+                yield _batch(back[at : at + 64])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = _Found()
-        for flush in _flushes(_doc_rows(batches, found, "<u8")):
+        for found, flush in _found_flushes(batches, "<u8"):
             at = flush.whole(window)
             key = _rolling(flush.hashes, window, 101)[at] if len(at) else np.zeros(0, np.uint64)
             starts = found.mark(flush, at, key)
@@ -392,7 +409,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, digest: bool = F
             yield from results([_result(None, (t or "").encode().split(), None, digest) for t in b.column(1).to_pylist()])
 
     late = parts(stage.where(f"kind = {WINDOWS}")).mapInArrow(match_windows, ROW)
-    back = parts(late.unionByName(stage.where(f"kind IN ({RUNS}, {DOCUMENT})"))).sortWithinPartitions("kind")
+    back = parts(late.unionByName(stage.where(f"kind IN ({RUNS}, {DOCUMENT})")))
     finished = back.mapInArrow(finish, result)
     if changed_only:
         return finished.where("n_removed > 0")
