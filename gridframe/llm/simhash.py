@@ -10,7 +10,7 @@ number. Each unit of work links what it has found to one root each, so a dense g
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import numpy as np
@@ -19,11 +19,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridframe.llm.common import slices, texts, written
+from gridframe.llm.common import scratch, slices, texts, written
 
 #: Fingerprints that the tree is built from at most, and that a shard should hold.
 SAMPLE_FINGERPRINTS = 1 << 16
-SHARD_FINGERPRINTS = 256
+SHARD_FINGERPRINTS = 1024
 #: Residents of a shard, and fingerprints compared with them, that one unit of work takes.
 UNIT_RESIDENTS, UNIT_VISITORS = 2048, 16384
 #: A shard of the tree has at least so many fingerprints of the sample.
@@ -157,8 +157,11 @@ def linked(rows: list[tuple[np.ndarray, ...]], reach: int) -> tuple[np.ndarray,
     return ids[moved], ids[root[moved]]
 
 
-def near_edges(distinct: DataFrame, reach: int, shard_size: int = SHARD_FINGERPRINTS) -> DataFrame:
-    """Edges (a, b) of ids that connect all of ``distinct(fp, id)`` within ``reach`` bits, as chains of such links do."""
+def near_edges(distinct: DataFrame, reach: int, shard_size: int = SHARD_FINGERPRINTS, keep: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
+    """Edges (a, b) of ids that connect all of ``distinct(fp, id)`` within ``reach`` bits, as chains of such links do.
+
+    ``keep`` writes them as a table.
+    """
     spark = distinct.sparkSession
     n = distinct.count()
     sample = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE_FINGERPRINTS).toArrow().column(0).to_numpy()
@@ -170,14 +173,21 @@ def near_edges(distinct: DataFrame, reach: int, shard_size: int = SHARD_FINGERPR
             row, shard, home = tree.value.visits(fp.view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(home), b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row))], ["shard", "home", "fp", "id"])
 
-    visits = distinct.select("fp", "id").mapInArrow(visit, "shard long, home boolean, fp long, id long")
+    with scratch(spark) as held:
+        visits = held(distinct.select("fp", "id").mapInArrow(visit, "shard long, home boolean, fp long, id long"))
+        return keep(_linked_visits(visits, reach))
+
+
+def _linked_visits(visits: DataFrame, reach: int) -> DataFrame:
+    """The edges that the tree's visits (shard, home, fp, id) find."""
+    spark = visits.sparkSession
     # At most a row for each shard of the tree: a bounded number.
     sizes = {r["shard"]: (r["residents"], r["all"]) for r in visits.groupBy("shard").agg(F.count_if("home").alias("residents"), F.count("*").alias("all")).collect()}
     cut = {k: (-(-m // UNIT_RESIDENTS), -(-q // UNIT_VISITORS)) for k, (m, q) in sizes.items() if m}
     plan = spark.sparkContext.broadcast(cut)
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in visit(batches):
+        for b in slices(batches, 1 << 14):
             shard, home, fp, ids = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             blocks, chunks = (np.array([plan.value.get(x, (0, 0))[i] for x in shard.tolist()], np.int64) for i in (0, 1))
             mixed = (fp.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
@@ -209,44 +219,42 @@ def near_edges(distinct: DataFrame, reach: int, shard_size: int = SHARD_FINGERPR
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], ["a", "b"])
 
-    rows = distinct.select("fp", "id").mapInArrow(units, "unit long, fp long, id long, resident boolean, visitor boolean")
+    rows = visits.mapInArrow(units, "unit long, fp long, id long, resident boolean, visitor boolean")
     return rows.repartitionByRange("unit").sortWithinPartitions("unit").mapInArrow(link, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label) for every node of ``edges(a, b)``: the smallest node that it is connected with.
+def components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
+    """(node, label) for every node of ``edges(a, b)``: the smallest node that it is connected with. ``keep`` writes the result as a table.
 
     Each round takes the smallest label next door and then the label's own label, so labels jump ahead; the rounds
-    needed grow with the logarithm of a component's width. Each round's labels are a written table.
+    needed grow with the logarithm of a component's width. Each round's labels are a table that goes with the next round.
     """
-    edges = written(edges.where("a <> b"))
-    both = written(edges.union(edges.select("b", "a")).distinct())
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = written(labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("was")))
-        ahead = step.select(F.col("node").alias("label"), F.col("label").alias("ahead"))
-        jumped = written(step.join(ahead, "label", "left").select("node", F.least("label", F.coalesce("ahead", "label")).alias("label"), "was"))
-        if not jumped.where("label <> was").limit(1).count():
-            return jumped.select("node", "label")
-        labels = jumped.select("node", "label")
+    with scratch(edges.sparkSession) as held:
+        both = held(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).distinct())
+        labels = held(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
+        while True:
+            near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+            step = held(labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("was")))
+            ahead = step.select(F.col("node").alias("label"), F.col("label").alias("ahead"))
+            jumped = held(step.join(ahead, "label", "left").select("node", F.least("label", F.coalesce("ahead", "label")).alias("label"), "was"))
+            if not jumped.where("label <> was").limit(1).count():
+                return keep(jumped.select("node", "label"))
+            labels = jumped.select("node", "label")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, reach: int = 2) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs(doc_id, text)``: the smallest doc_id reachable by links.
 
     Fingerprints link at ``reach`` or fewer differing bits, equal ones included. Texts without words (null, empty) have
-    fingerprint 0 and link like others. A null doc_id stays null and is never a component's id unless the component has
-    no other. Repeated rows are repeated; an empty table gives no rows.
+    fingerprint 0 and link like others. A null doc_id stays null; its row links and carries links like any other, but its
+    component's id is null only if no row of the component has an id. Repeated rows are repeated; an empty table gives
+    no rows.
     """
     prints = written(fingerprints(docs, words))
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("id")))
-    found = components(near_edges(distinct.where("id IS NOT NULL"), reach))
-    component = distinct.join(found, distinct["id"] == found["node"], "left").select("fp", F.coalesce("label", "id").alias("component_id"))
+    with scratch(docs.sparkSession) as held:
+        distinct = held(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+        label = F.coalesce("label", "fp")
+        found = components(near_edges(distinct.select("fp", F.col("fp").alias("id")), reach, keep=held), keep=held)
+        labelled = held(distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", label.alias("label")))
+        component = written(labelled.join(labelled.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("fp", "component_id"))
     return prints.join(component, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_first(docs: DataFrame, words: int = 3, reach: int = 2) -> DataFrame:
-    """``docs`` without those that another of their component comes before; all columns as they are."""
-    later = near_duplicates(docs, words, reach).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)

@@ -78,6 +78,12 @@ def test_rows(spark):
     got = sorted(repr((r["doc_id"], r["fp"] & (1 << 64) - 1, r["component_id"])) for r in simhash.near_duplicates(frame).collect())
     component = {3: 3, 9: 3, 2: 2, 5: 2, None: 7, 7: 7, 8: 8}
     assert got == sorted(repr((i, plain(t), component[i])) for i, t in ROWS)
-    kept = simhash.keep_first(frame)
-    assert kept.columns == frame.columns and sorted(repr(r["doc_id"]) for r in kept.collect()) == sorted(map(repr, [3, 3, 2, None, 7, 8]))
     assert simhash.near_duplicates(frame.limit(0)).count() == 0
+
+
+def test_a_fingerprint_without_id_bridges_two_others(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "fingerprint", lambda text, words=3, seed=42: int(text))
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, words=3: docs.selectExpr("doc_id", "CAST(text AS BIGINT) fp"))
+    frame = spark.createDataFrame([(7, "1"), (None, "3"), (9, "15"), (None, "4080"), (2, "65280")], "doc_id bigint, text string")
+    got = {(r["doc_id"], r["fp"]): r["component_id"] for r in simhash.near_duplicates(frame).collect()}
+    assert got == {(7, 1): 7, (None, 3): 7, (9, 15): 7, (None, 4080): None, (2, 65280): 2}
