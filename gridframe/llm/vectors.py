@@ -1,22 +1,34 @@
 """Exact and approximate nearest neighbours by inner product, over packed blocks of vectors.
 
-Candidates are packed where they are read into rows of many vectors, so no shuffle groups them by a key that could be
-hot; queries are packed into chunks alike. A unit of work is one chunk against one packed row, and a query's best are
-merged from its units.
+Candidates are packed where they are read into rows of many vectors; queries are packed into chunks alike. A unit of
+work has a bounded number of queries and of candidates: a part with more is cut into slices and groups, each slice
+meeting each group. A task reads a unit's queries first and then streams its candidates past them, so a packed row is
+read once, and what a query has found so far raises the bar for the rows that follow. A query's best are merged from
+its units.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridframe.llm.common import scratch, written
+
 #: Vectors of a block, blocks of a packed row, and queries of a chunk.
 BLOCK_VECTORS, ROW_BLOCKS, CHUNK_QUERIES = 256, 16, 256
+#: Candidates and queries of a unit of work.
+UNIT_CANDIDATES, UNIT_QUERIES = 1 << 14, 1 << 16
+#: Entries that a unit holds before it cuts them to each query's best.
+HELD_ENTRIES = 1 << 16
+#: Vectors that a tree is fitted on at most, vectors of a leaf of the tree search, the share of true neighbours to find
+#: in the sample, and leaves of the tree that orders the exact search's blocks.
+SAMPLE_VECTORS, LEAF_VECTORS, SAMPLE_RECALL, ORDER_LEAVES = 20_000, 512, 0.94, 256
 PACKED = "part int, ids binary, data binary"
 
 
@@ -37,8 +49,30 @@ def _width(vectors: DataFrame) -> int:
     return row[0]["k"] if row else 0
 
 
-def packed(vectors: DataFrame, width: int, rows: int, number: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None, prepare: Callable[[np.ndarray], np.ndarray] = lambda x: x) -> DataFrame:
-    """``vectors(id, v)`` in rows of up to ``rows`` vectors, ordered by id within a row.
+def _usable(vectors: DataFrame, width: int) -> DataFrame:
+    """The rows of ``vectors(id, v)`` that take part."""
+    return vectors.where(f"id IS NOT NULL AND size(v) = {width} AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity'))")
+
+
+def _sample(usable: DataFrame, width: int) -> np.ndarray:
+    """At most ``SAMPLE_VECTORS`` vectors, chosen by a hash of their id; an id once, so that a query meets itself at most once."""
+    table = usable.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_VECTORS).toArrow()
+    pieces = [_vectors(b, width) for b in table.to_batches()]
+    if not pieces:
+        return np.zeros((0, width))
+    ids, sample = (np.concatenate(z) for z in zip(*pieces, strict=True))
+    return sample[np.unique(ids, return_index=True)[1]]
+
+
+def packed(
+    vectors: DataFrame,
+    width: int,
+    rows: int,
+    number: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None,
+    prepare: Callable[[np.ndarray], np.ndarray] = lambda x: x,
+    rank: Callable[[np.ndarray], np.ndarray] | None = None,
+) -> DataFrame:
+    """``vectors(id, v)`` in rows of up to ``rows`` vectors, in order of ``rank``, if given, and id.
 
     ``number`` gives row numbers and parts of vectors, a vector in one part or several; a packed row is of one part.
     """
@@ -50,7 +84,7 @@ def packed(vectors: DataFrame, width: int, rows: int, number: Callable[[np.ndarr
         def flush() -> Iterator[pa.RecordBatch]:
             for part, pieces in sorted(held.items()):
                 ids, x = (np.concatenate(z) for z in zip(*pieces, strict=True))
-                order = np.argsort(ids, kind="stable")
+                order = np.lexsort((ids, rank(x))) if rank else np.argsort(ids, kind="stable")
                 for at in range(0, len(ids), rows):
                     o = order[at : at + rows]
                     yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([ids[o].tobytes()]), pa.array([x[o].tobytes()])], ["part", "ids", "data"])
@@ -96,42 +130,105 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array([[clip(sum(u * v for u, v in zip(r, c, strict=True))) for c in columns] for r in rows], np.int64).reshape(len(a), len(b))
 
 
-def _search_row(queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[list[int], ...]:
-    """The best of one packed row for each query, block by block in order of the blocks' bounds.
+class _Best:
+    """The best of a unit's candidates for each of its queries.
 
-    A component's largest and smallest value in a block bound what the component can add, their sum over the components
-    bounds the block. A query goes on until the next bound is below its k-th best; equal bounds are still looked at.
+    A query comes with a score that ``k`` candidates reach, or none; entries below its bar are dropped, and the bar
+    rises to the k-th best of what was found. Exact searches go block by block: a component's largest and smallest value
+    in a block bound what the component can add, their sum over the components bounds the block, and a query looks at
+    the blocks of a row in order of their bounds until they fall below its bar; equal bounds are still looked at.
     """
-    blocks = [slice(a, a + BLOCK_VECTORS) for a in range(0, len(ids), BLOCK_VECTORS)]
-    high = np.stack([x[b].max(0) for b in blocks])
-    low = np.stack([x[b].min(0) for b in blocks])
-    bounds = np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T
-    bounds += np.abs(bounds) * 1e-9  # doubles may round a sum of large numbers down
-    order = np.argsort(-bounds, axis=1, kind="stable")
-    best: list[list[tuple[int, int]]] = [[] for _ in queries]  # heaps of (score, -id): the worst on top
-    active = np.arange(len(queries))
-    for step in range(len(blocks)):
-        active = np.array([q for q in active if len(best[q]) < k or bounds[q, order[q, step]] >= best[q][0][0]], np.int64)
-        if not len(active):
-            break
-        for block in np.unique(order[active, step]):
-            own = active[order[active, step] == block]
-            scores = _products(queries[own], x[blocks[block]])
-            names = ids[blocks[block]]
-            for q, s in zip(own, scores, strict=True):
-                other = names != query_ids[q]  # however many rows the query has here, none of them takes a candidate's place
-                s, own_names = s[other], names[other]
-                keep = np.flatnonzero(s >= np.partition(s, -k)[-k]) if len(s) > k else np.arange(len(s))
-                if len(keep) > 4 * k:  # many ties at the edge: only the smallest ids of equal scores can be among the k
-                    keep = np.lexsort((own_names, -s))[:k]
-                for j in keep:
-                    item = (int(s[j]), -int(own_names[j]))
-                    if len(best[q]) < k:
-                        heapq.heappush(best[q], item)
-                    elif item > best[q][0]:
-                        heapq.heapreplace(best[q], item)
-    found = [(int(query_ids[q]), -i, s) for q, heap in enumerate(best) for s, i in heap]
-    return tuple(map(list, zip(*found, strict=True))) if found else ([], [], [])
+
+    def __init__(self, k: int, exact: bool):
+        self.k, self.exact, self.chunks, self.entries, self.count = k, exact, [], [], 0
+        self.asked, self.pairs, self.scored = False, 0, 0  # pairs of a query and a block: all, and those that were scored
+
+    def ask(self, ids: np.ndarray, rows: np.ndarray) -> None:
+        """Queries; the last column is the bar they come with."""
+        self.chunks.append((ids, rows))
+        self.asked = True
+
+    def ready(self) -> None:
+        self.ids, rows = (np.concatenate(x) for x in zip(*self.chunks, strict=True))
+        self.queries = rows[:, :-1]
+        self.bar = self._lowered(rows[:, -1])
+        self.above, self.below = np.maximum(self.queries, 0), np.minimum(self.queries, 0)
+        self.chunks.clear()
+
+    @staticmethod
+    def _lowered(scores: np.ndarray) -> np.ndarray:
+        """A little less, since doubles may round."""
+        return scores - 1e-9 * np.maximum(1.0, np.where(np.isfinite(scores), np.abs(scores), 0))
+
+    def look(self, ids: np.ndarray, x: np.ndarray) -> None:
+        if self.chunks:
+            self.ready()
+        blocks = [slice(a, a + BLOCK_VECTORS) for a in range(0, len(ids), BLOCK_VECTORS)] if self.exact else [slice(0, len(ids))]
+        self.pairs += len(blocks) * len(self.ids)
+        if not self.exact:
+            self._score(np.arange(len(self.ids)), ids, x)
+            return
+        bounds = self.above @ np.stack([x[b].max(0) for b in blocks]).T + self.below @ np.stack([x[b].min(0) for b in blocks]).T
+        bounds += np.abs(bounds) * 1e-9
+        order = np.argsort(-bounds, axis=1, kind="stable")
+        active = np.arange(len(self.ids))
+        for step in range(len(blocks)):
+            nth = order[active, step]
+            active = active[bounds[active, nth] >= self.bar[active]]
+            if not len(active):
+                break
+            nth = order[active, step]
+            for block in np.unique(nth):
+                self._score(active[nth == block], ids[blocks[block]], x[blocks[block]])
+            self._cut()
+
+    def _score(self, own: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
+        self.scored += len(own)
+        products = _products(self.queries[own], x) if self.exact else self.queries[own] @ x.T
+        q, c = np.nonzero(products >= self.bar[own][:, None])
+        other = ids[c] != self.ids[own[q]]  # however many rows the query has here, none of them takes a candidate's place
+        q, c = q[other], c[other]
+        if self.exact:
+            score = products[q, c]
+        else:
+            score = np.empty(len(q))
+            for at in range(0, len(q), 1 << 15):
+                part = slice(at, at + (1 << 15))
+                score[part] = (x[c[part]] * self.queries[own[q[part]]]).sum(1)  # one order of summing, wherever a vector stands: equal vectors tie
+        self.entries.append((own[q], ids[c], score))
+        self.count += len(q)
+        if self.count > HELD_ENTRIES:
+            self._cut()
+
+    def _cut(self) -> None:
+        """Keeps each query's ``k`` best and raises the bars."""
+        if not self.entries:
+            return
+        q, ids, score = (np.concatenate(x) for x in zip(*self.entries, strict=True))
+        order = np.lexsort((ids, -score, q))
+        q, ids, score = q[order], ids[order], score[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        top = place < self.k
+        full = place == self.k - 1
+        self.bar[q[full]] = np.maximum(self.bar[q[full]], self._lowered(score[full].astype(float)))
+        self.entries = [(q[top], ids[top], score[top])]
+        self.count = int(top.sum())
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self._cut()
+        if not self.entries:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64 if self.exact else float)
+        q, ids, score = self.entries[0]
+        return self.ids[q], ids, score
+
+
+def _with_bar(queries: np.ndarray, sample: np.ndarray, k: int) -> np.ndarray:
+    """Queries with a score that ``k`` other vectors of the sample reach: one more, since the query may be among them."""
+    bar = np.full(len(queries), -np.inf)
+    if len(sample) > k:
+        for at in range(0, len(queries), 256):
+            bar[at : at + 256] = np.partition(queries[at : at + 256] @ sample.T, -k - 1, axis=1)[:, -k - 1]
+    return np.column_stack([queries, bar])
 
 
 def exact_top_k(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
@@ -139,33 +236,60 @@ def exact_top_k(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
 
     Scores are inner products of floor(1024 * component), in whole numbers, held to 64 bits. A query's own id is no
     candidate. Fewer candidates than ``k`` all appear. Rows with a null id, a null, empty or odd-width vector, or null or
-    non-finite components take no part; a repeated row is as many candidates, but an id is one query, the least of its vectors. An
-    empty table gives no rows.
+    non-finite components take no part; a repeated row is as many candidates, but an id is one query, the least of its
+    vectors. An empty table gives no rows.
+
+    Blocks hold vectors that a k-means tree over a bounded sample finds alike, so that clustered vectors have tight
+    bounds; the sample also gives each query its first bar. Both decide the work only, never the result.
     """
+    spark = vectors.sparkSession
     named = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("v"))
     width = _width(named)
-    size = BLOCK_VECTORS * ROW_BLOCKS
-    candidates = packed(named, width, size, prepare=scaled)
-    asked = packed(named.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v")), width, CHUNK_QUERIES, prepare=scaled)
-    # Every chunk meets every packed row: rows are dealt over slots, and each slot gets all chunks.
-    slots = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    candidates = candidates.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(slots)).cast("int"))
-    queries = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-    return _best(_units(candidates, queries, width, lambda q, qi, i, x: _search_row(q, qi, i, x, k), "long"), k)
+    usable = _usable(named, width)
+    sample = scaled(_sample(usable, width))
+    if not len(sample):
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    tree = MeansTree(sample, max(16, len(sample) // ORDER_LEAVES))
+    shared = spark.sparkContext.broadcast((tree, sample))  # SAMPLE_VECTORS vectors at most
+    candidates = packed(usable, width, BLOCK_VECTORS * ROW_BLOCKS, prepare=scaled, rank=lambda x: shared.value[0].home(x))
+    asked = usable.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
+    queries = packed(asked, width, CHUNK_QUERIES, prepare=lambda x: _with_bar(scaled(x), shared.value[1], k))
+    with scratch(spark) as held:
+        return _best(written(_searched(held(candidates), held(queries), width, k, "long")), k)
+
 
+def _searched(candidates: DataFrame, queries: DataFrame, width: int, k: int, kind: str) -> DataFrame:
+    """(query_id, vec_id, score): the best of every unit. Both sides are tables of packed rows, queries with their bar.
 
-def _units(candidates: DataFrame, queries: DataFrame, width: int, search: Callable, kind: str) -> DataFrame:
-    """``search`` for every packed row with every chunk of its part."""
-    pairs = candidates.join(queries.select("part", F.col("ids").alias("query_ids"), F.col("data").alias("query_data")), "part")
+    The parts, leaves of a tree or a single one, are a bounded number, and so are the rows that say how to cut them.
+    """
+    count = lambda df, name: df.groupBy("part").agg(F.sum(F.octet_length("ids").cast("long") / 8).alias(name))
+    sizes = count(candidates, "c").join(count(queries, "q"), "part")
+    cuts = F.broadcast(sizes.select("part", F.ceil(F.col("c") / UNIT_CANDIDATES).alias("slices"), F.ceil(F.col("q") / UNIT_QUERIES).alias("groups")))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("ids"), F.col(n))
+    asked = queries.join(cuts, "part").select("part", each("slices").alias("piece"), own("groups").alias("bunch"), F.lit(0).alias("kind"), "ids", "data")
+    looked = candidates.join(cuts, "part").select("part", own("slices").alias("piece"), each("groups").alias("bunch"), F.lit(1).alias("kind"), "ids", "data")
+    keys = ["part", "piece", "bunch"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for ids, data, query_ids, query_data in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                asked = np.frombuffer(query_ids, np.int64)
-                query, vec, score = search(np.frombuffer(query_data).reshape(len(asked), -1), asked, np.frombuffer(ids, np.int64), np.frombuffer(data).reshape(-1, width))
-                yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(vec, pa.int64()), pa.array(score, pa.int64() if kind == "long" else pa.float64())], ["query_id", "vec_id", "score"])
+        def stream() -> Iterator[tuple]:
+            for b in batches:
+                for at in range(b.num_rows):
+                    yield tuple(c[at].as_py() for c in b.columns)
+
+        for _, unit in groupby(stream(), lambda r: r[:3]):
+            best = _Best(k, kind == "long")
+            for *_, order, ids, data in unit:
+                names = np.frombuffer(ids, np.int64)
+                if order == 0:
+                    best.ask(names, np.frombuffer(data).reshape(len(names), width + 1))
+                elif best.asked:
+                    best.look(names, np.frombuffer(data).reshape(len(names), width))
+            query, vec, score = best.found()
+            yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(vec, pa.int64()), pa.array(score, pa.int64() if kind == "long" else pa.float64())], ["query_id", "vec_id", "score"])
 
-    return pairs.select("ids", "data", "query_ids", "query_data").mapInArrow(run, f"query_id long, vec_id long, score {kind}")
+    return asked.unionByName(looked).repartition(*keys).sortWithinPartitions(*keys, "kind").mapInArrow(run, f"query_id long, vec_id long, score {kind}")
 
 
 class MeansTree:
@@ -253,26 +377,6 @@ class MeansTree:
         return min(self.leaves, int(np.searchsorted(reached, recall)) + 1)
 
 
-def _nearest_in_row(queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """The row's best for each query, as arrays of query, id and score. A query's last component is a score that ``k`` candidates reach."""
-    queries, least = queries[:, :-1], queries[:, -1]
-    q, c = np.nonzero(queries @ x.T >= (least - 1e-9 * np.maximum(1.0, np.abs(least)))[:, None])
-    other = ids[c] != query_ids[q]
-    q, c = q[other], c[other]
-    exact = np.empty(len(q))
-    for at in range(0, len(q), 1 << 15):
-        part = slice(at, at + (1 << 15))
-        exact[part] = (x[c[part]] * queries[q[part]]).sum(1)  # one order of summing, wherever a vector stands: equal vectors tie
-    order = np.lexsort((ids[c], -exact, q))
-    q, c, exact = q[order], c[order], exact[order]
-    top = np.arange(len(q)) - np.searchsorted(q, q) < k
-    return query_ids[q[top]], ids[c[top]], exact[top]
-
-
-#: Vectors that the tree is fitted on at most, vectors of a leaf, and the share of true neighbours to find in the sample.
-SAMPLE_VECTORS, LEAF_VECTORS, SAMPLE_RECALL = 20_000, 512, 0.97
-
-
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = SAMPLE_RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score): up to ``k`` nearest found for each row of ``vectors(vec_id, embedding)`` whose id ``every`` divides.
 
@@ -284,14 +388,11 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = SA
     """
     spark = vectors.sparkSession
     named = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("v")).where("v IS NOT NULL AND exists(v, x -> x <> 0)")
-    width, n = _width(named), named.count()
-    table = named.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_VECTORS).toArrow()
-    pieces = [_vectors(b, width) for b in table.to_batches()]
-    ids, sample = (np.concatenate(z) for z in zip(*pieces, strict=True)) if pieces else (np.zeros(0), np.zeros((0, width)))
-    sample = sample[np.unique(ids, return_index=True)[1]]  # an id once, so that a query meets itself at most once
-    empty = "query_id long, rank int, vec_id long, score double"
+    width = _width(named)
+    usable = _usable(named, width)
+    n, sample = usable.count(), _sample(usable, width)
     if not len(sample):
-        return spark.createDataFrame([], empty)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     tree = MeansTree(sample, max(16, LEAF_VECTORS * len(sample) // max(n, 1))).ready()
     visits = max(tree.calibrate(sample, k, recall), min(tree.leaves, -(-4 * k * tree.leaves // max(1, n))))
     if n <= 4 * k:
@@ -301,22 +402,24 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = SA
     def home(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.arange(len(x)), shared.value[0].home(x)
 
-    def with_least(x: np.ndarray) -> np.ndarray:
+    def with_bar(x: np.ndarray) -> np.ndarray:
         """Queries with a score that at least ``k`` others in their leaves reach, by the sample's vectors there."""
         tree, known, leaf = shared.value
-        least = np.full(len(x), -np.inf)
+        bar = np.full(len(x), -np.inf)
         for i, q in enumerate(x):
             chosen = np.zeros(tree.leaves, bool)
             chosen[tree.best_first(q, visits)] = True
             s = known[chosen[leaf]] @ q
             if len(s) > k:
-                least[i] = np.partition(s, -k - 1)[-k - 1]  # one more, since the query may be among them
-        return np.column_stack([x, least])
+                bar[i] = np.partition(s, -k - 1)[-k - 1]  # one more, since the query may be among them
+        return np.column_stack([x, bar])
 
     def visited(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         found = [shared.value[0].best_first(q, visits) for q in x[:, :-1]]
         return np.repeat(np.arange(len(x)), [len(f) for f in found]), np.array([leaf for f in found for leaf in f], np.int64)
 
-    candidates = packed(named, width, BLOCK_VECTORS * ROW_BLOCKS, home)
-    queries = packed(named.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v")), width, CHUNK_QUERIES, visited, with_least)
-    return _best(_units(candidates, queries, width, lambda q, qi, i, x: _nearest_in_row(q, qi, i, x, k), "double"), k)
+    candidates = packed(usable, width, BLOCK_VECTORS * ROW_BLOCKS, home)
+    asked = usable.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
+    queries = packed(asked, width, CHUNK_QUERIES, visited, with_bar)
+    with scratch(spark) as held:
+        return _best(written(_searched(held(candidates), held(queries), width, k, "double")), k)

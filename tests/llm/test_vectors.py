@@ -61,12 +61,20 @@ def test_exact_blocks_and_large_numbers(spark, monkeypatch):
     assert vectors.exact_top_k(table(spark, []), 2).count() == 0
 
 
-def test_pruning_keeps_ties():
+def searched(queries, query_ids, rows, k, bar=None):
+    best = vectors._Best(k, exact=True)
+    best.ask(query_ids, np.column_stack([queries, np.full(len(queries), -np.inf) if bar is None else bar]))
+    for ids, x in rows:
+        best.look(ids, x)
+    return set(zip(*(c.tolist() for c in best.found()), strict=True)), best
+
+
+def test_ties_are_kept():
     rng = np.random.default_rng(0)
     x = rng.integers(-2, 3, (4096, 4)).astype(float)
     ids = rng.permutation(4096).astype(np.int64)
     q = x[:5]
-    found = list(zip(*vectors._search_row(q, ids[:5], ids, x, 10), strict=True))
+    found, _ = searched(q, ids[:5], [(ids[a : a + 1000], x[a : a + 1000]) for a in range(0, 4096, 1000)], 10)
     for k in range(5):
         s = x @ q[k]
         other = ids != ids[k]
@@ -74,6 +82,20 @@ def test_pruning_keeps_ties():
         assert {f for f in found if f[0] == ids[k]} == want
 
 
+def test_clustered_blocks_are_skipped():
+    """Blocks of one cluster each: bounds fall below the bar, and what is found before raises it for the rows that follow."""
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(40, 32))
+    x = np.floor(1024 * (np.repeat(centres, 256, 0) + 0.05 * rng.normal(size=(40 * 256, 32))))
+    ids = np.arange(len(x))
+    queries = x[::512]
+    found, best = searched(queries, ids[::512], [(ids[a : a + 2560], x[a : a + 2560]) for a in range(0, len(x), 2560)], 10)
+    s = queries @ x.T
+    s[np.arange(len(queries)), ids[::512]] = -(2.0**60)
+    assert {(q, i) for q, i, _ in found} == {(int(ids[::512][a]), int(i)) for a in range(len(queries)) for i in np.lexsort((ids, -s[a]))[:10]}
+    assert best.pairs == 40 * len(queries) and best.scored < 0.5 * best.pairs
+
+
 def test_sql_says_the_same(spark):
     duck = duckdb.connect()
     duck.sql("CREATE VIEW embeddings AS SELECT * FROM '/root/testdata/sf0.001/embeddings.parquet'")
@@ -121,5 +143,49 @@ def test_a_repeated_query_takes_no_candidate_away(spark, copies):
 def test_repeated_queries_among_many_ties():
     ids = np.array([5] * 30 + list(range(100, 200)), np.int64)
     x = np.ones((len(ids), 2))
-    found = set(zip(*vectors._search_row(x[:1], ids[:1], ids, x, 10), strict=True))
+    found, _ = searched(x[:1], ids[:1], [(ids, x)], 10)
     assert found == {(5, k, 2) for k in range(100, 110)}
+
+
+def test_units_cut_queries_and_candidates(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "UNIT_CANDIDATES", 100)
+    monkeypatch.setattr(vectors, "UNIT_QUERIES", 3)
+    monkeypatch.setattr(vectors, "CHUNK_QUERIES", 2)
+    monkeypatch.setattr(vectors, "ROW_BLOCKS", 1)
+    monkeypatch.setattr(vectors, "BLOCK_VECTORS", 40)
+    data = rows()
+    ids, x = whole(data)
+    got = [tuple(r) for r in vectors.exact_top_k(table(spark, data), 10, 100).collect()]
+    assert set(got) == best(ids, x, 100, 10, True) and len(got) == len(set(got))
+
+
+@pytest.mark.parametrize("clustered", [True, False])
+def test_a_tree_of_many_leaves(spark, monkeypatch, clustered):
+    """50 leaves or more, of which a query visits a part; a third of all vectors are equal and fill one leaf."""
+    monkeypatch.setattr(vectors, "LEAF_VECTORS", 20)
+    monkeypatch.setattr(vectors, "UNIT_CANDIDATES", 300)
+    rng = np.random.default_rng(3)
+    n, width = 3000, 8
+    x = rng.normal(size=(n, width)) if not clustered else np.repeat(rng.normal(size=(100, width)), n // 100, 0) + 0.1 * rng.normal(size=(n, width))
+    x[rng.permutation(n)[: n // 3]] = x[0]
+    data = list(enumerate(x.astype(np.float32)))
+    seen = []
+    calibrate = vectors.MeansTree.calibrate
+
+    def spy(tree, *args):
+        seen.append((tree.leaves, calibrate(tree, *args)))
+        return seen[-1][1]
+
+    monkeypatch.setattr(vectors.MeansTree, "calibrate", spy)
+    got = {(r["query_id"], r["vec_id"]) for r in vectors.nearest(table(spark, data)).collect()}
+    ids, y = whole(data)
+    want = {(q, i) for q, _, i, _ in best(ids, y, 20, 20, False)}
+    (leaves, visits), = seen
+    assert leaves >= 50 and visits < leaves * (0.5 if clustered else 0.95)
+    assert len(got & want) >= 0.9 * len(want)
+
+
+def test_a_sample_of_useless_rows_is_no_sample(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SAMPLE_VECTORS", 4)
+    data = [(k, [math.nan] * 8) for k in range(200)] + [(20 * k, [1.0, k] + [0.0] * 6) for k in range(30)]
+    assert vectors.nearest(table(spark, data), 5).count() == 150 and vectors.exact_top_k(table(spark, data), 5).count() == 30
