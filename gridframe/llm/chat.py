@@ -48,10 +48,15 @@ def unescape_role(role: str) -> str:
 
 
 class Flattener:
-    """Visits the parts of one turn; ``visit_<kind>`` handles a kind, and kinds without a method become documents."""
+    """Visits the parts of one turn; ``visit_<kind>`` handles a kind, and kinds without a method become documents.
+
+    Neighbouring texts are escaped as one, since a control string may begin in one and end in the next; ``content`` is
+    the turn's text after the last part.
+    """
 
     def __init__(self, default_tokens: dict[str, int]):
         self.default_tokens, self.out, self.size, self.attachments = default_tokens, [], 0, []
+        self.texts: list[str] = []
 
     def visit(self, part: dict) -> None:
         getattr(self, f"visit_{part['kind'] or 'text'}", self.visit_document)(part)
@@ -61,9 +66,18 @@ class Flattener:
         self.size += len(text)
 
     def visit_text(self, part: dict) -> None:
-        self.put(escape(part["text"] or ""))
+        self.texts.append(part["text"] or "")
+
+    def put_texts(self) -> None:
+        self.put(escape("".join(self.texts)))
+        self.texts.clear()
+
+    def content(self) -> str:
+        self.put_texts()
+        return "".join(self.out)
 
     def attach(self, kind: str, part: dict) -> None:
+        self.put_texts()
         begin, n = self.size, part["n_tokens"] if part["n_tokens"] is not None else self.default_tokens[kind]
         self.put(f"<|{kind}_{len(self.attachments)}|>")
         self.attachments.append({"ordinal": len(self.attachments), "kind": kind, "ref": part["ref"], "n_tokens": n, "begin": begin, "end": self.size})
@@ -99,7 +113,7 @@ def format_turns(turns: DataFrame, default_tokens: dict[str, int] | None = None)
                     if part is not None:
                         v.visit(part)
                 head = f"{START}{escape_role(role or '')}\n"
-                formatted.append(f"{head}{''.join(v.out)}{END}\n")
+                formatted.append(f"{head}{v.content()}{END}\n")
                 learned = role == LEARNED_ROLE
                 begins.append(len(head) if learned else None)
                 ends.append(len(head) + v.size if learned else None)

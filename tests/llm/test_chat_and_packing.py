@@ -105,3 +105,25 @@ def test_few_sequences(spark):
 def test_one_length_only(n):
     runs = packing.plan_sequences(np.bincount([n] * 100, minlength=2049))
     assert (runs[:, 4] + -(-runs[:, 2] // runs[:, 3])).max() == -(-100 // (2048 // n))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(NASTY, st.sampled_from(["image", "audio"]).map(lambda k: (k,))), max_size=6))
+def test_parts_are_escaped_as_joined_text(parts):
+    """Control strings that begin in one text part and end in the next are escaped too, and read back."""
+    v, text, marks = chat.Flattener(chat.DEFAULT_TOKENS), [""], 0
+    for part in parts:
+        if isinstance(part, tuple):
+            v.visit({"kind": part[0], "text": None, "ref": "r", "n_tokens": 1})
+            text.append("")
+        else:
+            v.visit({"kind": "text", "text": part, "ref": None, "n_tokens": None})
+            text[-1] += part
+    content = v.content()
+    at, between = 0, []
+    for a in v.attachments:
+        between.append(content[at : a["begin"]])
+        assert content[a["begin"] : a["end"]] == f"<|{a['kind']}_{marks}|>"
+        at, marks = a["end"], marks + 1
+    between.append(content[at:])
+    assert [chat.unescape(x) for x in between] == text and not any("<|" in x for x in between)
