@@ -22,7 +22,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, learnable: C
     """At most ``per_class`` documents of each class, as (text, label), and the classes' sizes over all labelled rows.
 
     Rows are chosen among those that ``docs`` has, by a hash of their id, so the choice neither depends on their order
-    nor grows with the input. Null labels, other values than 0 and 1, and ids with both labels are left out.
+    nor grows with the input. Null labels, other values than 0 and 1, and ids with both labels are left out. Where an id
+    repeats, its least text counts.
     """
     known = (
         labels.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("label"))
@@ -38,7 +39,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, learnable: C
     picked = [here.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
     few = F.broadcast(picked[0].unionByName(picked[1]))  # 2 * per_class rows of an id and a label
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(few, "doc_id")
-    return texts.groupBy("doc_id").agg(F.first("text").alias("text"), F.first("label").alias("label")).select("text", "label"), sizes
+    return texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label")).select("text", "label"), sizes
 
 
 def prior_shift(sizes: dict[int, int], sampled: np.ndarray) -> float:

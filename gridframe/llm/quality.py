@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridframe.llm.common import MEMO_ENTRIES, memo, slices, texts
+from gridframe.llm.common import MEMO_ENTRIES, MEMO_ENTRY_BYTES, memo, slices, texts
 from gridframe.llm.labelled import logistic, prior_shift, training_sample
 
 #: Labelled documents of each class that the fit takes at most.
@@ -40,9 +40,11 @@ class _Words(dict):
     """A word's two hashes: of its lower case and of its shape."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > MEMO_ENTRIES:
-            self.clear()
-        value = self[word] = xxhash.xxh32_intdigest(word.lower()) << 32 | xxhash.xxh32_intdigest(shape(word))
+        value = xxhash.xxh32_intdigest(word.lower()) << 32 | xxhash.xxh32_intdigest(shape(word))
+        if len(word) <= MEMO_ENTRY_BYTES // 4:
+            if len(self) > MEMO_ENTRIES:
+                self.clear()
+            self[word] = value
         return value
 
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridframe.llm.common import MEMO_ENTRIES, memo, slices, texts
+from gridframe.llm.common import MEMO_ENTRIES, MEMO_ENTRY_BYTES, memo, slices, texts
 from gridframe.llm.labelled import logistic, prior_shift, training_sample
 
 #: Labelled documents of each class, and their tokens together, that the fit takes at most. Documents are taken whole.
@@ -32,7 +32,11 @@ BITS = 20
 PREFIXES = (4, 5, 6, 7, 8)
 #: A form marks toxic documents if so many times their share of the others have it, and if chance would put all of the
 #: toxic documents that have it on that side with at most this probability.
-MIN_RATIO, CHANCE = 15.0, 1e-5
+#: Where no form reaches the first ratio, the next one counts.
+MIN_RATIOS, CHANCE = (15.0, 8.0, 4.0), 1e-5
+#: How far the transitions' odds ratio may go, as a logarithm: a constraint of the fit. Messages then shrink by
+#: tanh(9 / 4) = 0.978 a token at least, so lead-ins of below 1000 tokens are exact.
+MAX_SPREAD = 9.0
 SPANS = "array<struct<begin:int,end:int,p:double>>"
 
 _TOKEN = re.compile(r"\S+")
@@ -63,7 +67,10 @@ def toxic_forms(docs: list[list[str]], y: np.ndarray) -> set[str]:
         n[label] += 1
         counts[label].update({f for w in set(words) for f in forms(w)[:-1]})
     least = max(4, math.log(CHANCE) / math.log(n[1] / sum(n)))
-    return {f for f, a in counts[1].items() if a >= least and a / n[1] >= MIN_RATIO * (counts[0][f] + 0.5) / n[0]}
+    for ratio in MIN_RATIOS:
+        if found := {f for f, a in counts[1].items() if a >= least and a / n[1] >= ratio * (counts[0][f] + 0.5) / n[0]}:
+            return found
+    return set()
 
 
 class Chain:
@@ -118,9 +125,13 @@ class Chain:
 
 def burn_in(transitions: np.ndarray) -> int:
     """Tokens after which a message has forgotten its origin to 1e-9: the contraction of a positive 2 by 2 matrix."""
-    spread = abs(transitions[0, 0] + transitions[1, 1] - transitions[0, 1] - transitions[1, 0])
-    factor = math.tanh(spread / 4)
-    return 1 if factor < 1e-9 else max(1, math.ceil(math.log(1e-9) / math.log(min(factor, 0.98))))
+    factor = math.tanh(abs(spread(transitions)) / 4)
+    return 1 if factor < 1e-9 else max(1, math.ceil(math.log(1e-9) / math.log(factor)))
+
+
+def spread(transitions: np.ndarray) -> float:
+    """The logarithm of the odds ratio between staying and changing."""
+    return float(transitions[0, 0] + transitions[1, 1] - transitions[0, 1] - transitions[1, 0])
 
 
 def marginals(emit: np.ndarray, sizes: np.ndarray, transitions: np.ndarray) -> np.ndarray:
@@ -133,45 +144,57 @@ def marginals(emit: np.ndarray, sizes: np.ndarray, transitions: np.ndarray) -> n
     return chain.flat(odds / (1 + odds))
 
 
-def fit_field(tokens: np.ndarray, table: np.ndarray, mask: np.ndarray, gold: np.ndarray, sizes: np.ndarray, steps: int = 60, penalty: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
-    """Feature weights and transitions (rows: from state 0, from 1, start) that make ``gold`` likely, by Adam.
+class FieldGradient:
+    """The gradient of the mean negative log-likelihood of ``gold`` under the field, with a quadratic penalty.
 
-    ``tokens``: the word of each token; ``table`` and ``mask``: the words' features.
+    ``tokens``: the word of each token; ``table`` and ``mask``: the words' features, numbered densely.
     """
-    chain = Chain(sizes, 24)
-    used, table = np.unique(table, return_inverse=True)
-    table = table.reshape(mask.shape)
-    w, t = np.zeros(len(used)), np.zeros((3, 2))
-    slow = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(t), np.zeros_like(t)]
-    flow = chain.core & ~chain.last
-    here, after = chain.at[flow], chain.at[flow] + 1
-    truth = np.bincount(gold[here] * 2 + gold[after], minlength=4).reshape(2, 2)
-    first = np.bincount(gold[chain.at[chain.first & chain.core]], minlength=2)
-    n = len(tokens)
-    below = np.zeros_like(flow)
-    below[1:] = flow[:-1]
-    for step in range(1, steps + 1):
-        emit = ((w[table] * mask).sum(1))[tokens]
+
+    def __init__(self, tokens: np.ndarray, table: np.ndarray, mask: np.ndarray, gold: np.ndarray, sizes: np.ndarray, burn: int, penalty: float):
+        self.tokens, self.table, self.mask, self.gold, self.penalty = tokens, table, mask, gold, penalty
+        self.chain = chain = Chain(sizes, burn)
+        self.flow = chain.core & ~chain.last
+        here = chain.at[self.flow]
+        self.pairs = np.bincount(gold[here] * 2 + gold[here + 1], minlength=4).reshape(2, 2)
+        self.begin = chain.first & chain.core
+        self.first = np.bincount(gold[chain.at[self.begin]], minlength=2)
+        if self.flow[-1].any():  # the next token lies in the run-out, which a segment that fills its steps lacks
+            raise AssertionError("a segment has no run-out")
+
+    def __call__(self, w: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        chain, flow, n = self.chain, self.flow, len(self.tokens)
+        emit = ((w[self.table] * self.mask).sum(1))[self.tokens]
         forward, backward, e = chain.messages(emit, t)
         odds = forward * backward
         p = odds / (1 + odds)
-        lean = chain.flat(p) - gold
-        by_word = np.bincount(tokens, lean, len(table))
-        gw = np.bincount(table.ravel(), (by_word[:, None] * mask).ravel(), len(used)) / n + penalty * w
+        by_word = np.bincount(self.tokens, chain.flat(p) - self.gold, len(self.table))
+        gw = np.bincount(self.table.ravel(), (by_word[:, None] * self.mask).ravel(), len(w)) / n + self.penalty * w
         f, z = forward[:-1][flow[:-1]], (e * backward)[1:][flow[:-1]]
-        if flow[-1].any():  # the next token lies in the run-out, which a segment that fills its steps lacks
-            raise AssertionError("a segment has no run-out")
         pairs = np.exp(t[:2])[:, :, None] * np.stack([[np.ones_like(f), z], [f, f * z]])
         pairs /= pairs.sum((0, 1))
-        gt = np.zeros((3, 2))
-        gt[:2] = (pairs.sum(2) - truth) / n
-        at_first = p[chain.first & chain.core]
-        gt[2] = (np.array([(1 - at_first).sum(), at_first.sum()]) - first) / n
-        gt += penalty * t
-        for k, (x, g) in enumerate(((w, gw), (t, gt))):
+        at_first = p[self.begin]
+        first = np.array([(1 - at_first).sum(), at_first.sum()])
+        gt = np.vstack([pairs.sum(2) - self.pairs, first - self.first]) / n + self.penalty * t
+        return gw, gt
+
+
+def fit_field(tokens: np.ndarray, table: np.ndarray, mask: np.ndarray, gold: np.ndarray, sizes: np.ndarray, steps: int = 60, penalty: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+    """Feature weights and transitions (rows: from state 0, from 1, start) that make ``gold`` likely, by Adam.
+
+    Segments of the fit have a lead-in of 24 tokens, so its gradients are near, not exact; the fitted field is applied
+    exactly. The transitions' spread is held to ``MAX_SPREAD``.
+    """
+    used, dense = np.unique(table, return_inverse=True)
+    gradient = FieldGradient(tokens, dense.reshape(mask.shape), mask, gold, sizes, 24, penalty)
+    w, t = np.zeros(len(used)), np.zeros((3, 2))
+    slow = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(t), np.zeros_like(t)]
+    for step in range(1, steps + 1):
+        for k, (x, g) in enumerate(zip((w, t), gradient(w, t), strict=True)):
             slow[2 * k] += 0.1 * (g - slow[2 * k])
             slow[2 * k + 1] += 0.01 * (g * g - slow[2 * k + 1])
             x -= 0.3 * (slow[2 * k] / (1 - 0.9**step)) / (np.sqrt(slow[2 * k + 1] / (1 - 0.99**step)) + 1e-9)
+        over = spread(t) - np.clip(spread(t), -MAX_SPREAD, MAX_SPREAD)
+        t[:2] -= over / 4 * np.array([[1, -1], [-1, 1]])
     weights = np.zeros(1 << BITS)
     weights[used] = w
     return weights, t
@@ -252,9 +275,13 @@ class Scorer:
     def emissions(self, words: list[list[str]]) -> np.ndarray:
         if len(self.known) > MEMO_ENTRIES:
             self.known.clear()
-        for x in set().union(*words).difference(self.known):
-            self.known[x] = float(self.w[features(x)].sum())
-        return np.array([self.known[x] for doc in words for x in doc], float)
+        new = {x: float(self.w[features(x)].sum()) for x in set().union(*words).difference(self.known)}
+        self.known.update(new)
+        out = np.array([self.known[x] for doc in words for x in doc], float)
+        for x in new:
+            if len(x) > MEMO_ENTRY_BYTES // 4:
+                del self.known[x]
+        return out
 
     def score(self, docs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scores, every token's probability, and the documents' numbers of tokens."""

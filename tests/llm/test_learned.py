@@ -119,3 +119,102 @@ def test_labels_of_other_documents_take_no_place(spark):
     assert sample.groupBy("label").count().orderBy("label").collect() == [(0, 10), (1, 10)]
     known = labelled.labels_of(some, labels)
     assert labelled.training_sample(some, known, "quality", F.lit(True), 10)[1] == {0: 10, 1: 10}
+
+
+def plain_loss(w, t, tokens, table, mask, gold, sizes, penalty):
+    """Mean negative log-likelihood by the recursion over single tokens."""
+    emit = (w[table] * mask).sum(1)[tokens]
+    total, at = 0.0, 0
+    for n in sizes:
+        e, g = emit[at : at + n], gold[at : at + n]
+        at += n
+        if not n:
+            continue
+        a = t[2] + np.array([0, e[0]])
+        own = t[2, g[0]] + g[0] * e[0]
+        for k in range(1, n):
+            a = np.logaddexp(a[0] + t[0], a[1] + t[1]) + np.array([0, e[k]])
+            own += t[g[k - 1], g[k]] + g[k] * e[k]
+        total += np.logaddexp(*a) - own
+    return total / len(tokens) + penalty / 2 * ((w**2).sum() + (t**2).sum())
+
+
+def test_the_fit_s_gradient_is_the_loss_s():
+    rng = np.random.default_rng(4)
+    sizes = np.array([40, 1, 0, 300, 17])
+    tokens, gold = rng.integers(0, 12, sizes.sum()), rng.integers(0, 2, sizes.sum())
+    table, mask = rng.integers(0, 9, (12, 3)), rng.integers(0, 2, (12, 3)).astype(float)
+    w, t = rng.normal(size=9), rng.normal(size=(3, 2))
+    gw, gt = toxicity.FieldGradient(tokens, table, mask, gold, sizes, 200, 0.01)(w, t)
+    for x, g in ((w, gw), (t, gt)):
+        for at in np.ndindex(x.shape):
+            keep, h = x[at], 1e-5
+            loss = []
+            for step in (h, -h):
+                x[at] = keep + step
+                loss.append(plain_loss(w, t, tokens, table, mask, gold, sizes, 0.01))
+            x[at] = keep
+            assert abs((loss[0] - loss[1]) / (2 * h) - g[at]) < 1e-6
+
+
+def test_lead_ins_are_exact_for_any_transitions():
+    rng = np.random.default_rng(5)
+    t = np.array([[4.0, -4.0], [-4.0, 4.0], [0.0, 0.0]])  # contraction 0.9993: longer lead-ins than the fit allows
+    emit, sizes = 0.01 * rng.normal(size=60_000), np.array([60_000])
+    whole = toxicity.marginals(emit[:3000], np.array([3000]), t)
+    assert toxicity.burn_in(t) > 20_000
+    assert np.abs(toxicity.marginals(emit, sizes, t)[:1000] - whole[:1000]).max() < 0.2  # far from the cut they agree
+    f, p = 1.0, np.empty(60_000)
+    m = np.exp(t[:2])
+    back = np.ones(60_001)
+    for k in range(59_999, 0, -1):
+        z = np.exp(emit[k]) * back[k]
+        back[k - 1] = (m[1, 0] + m[1, 1] * z) / (m[0, 0] + m[0, 1] * z)
+    for k in range(60_000):
+        f = np.exp(emit[k]) * (f if k == 0 else (m[0, 1] + m[1, 1] * f) / (m[0, 0] + m[1, 0] * f))
+        p[k] = f * back[k]
+    assert np.abs(toxicity.marginals(emit, sizes, t) - p / (1 + p)).max() < 1e-8
+
+
+def test_fit_holds_the_spread():
+    sizes = np.full(50, 40)
+    gold = np.repeat(np.arange(50) % 2, 40)
+    _, t = toxicity.fit_field(np.zeros(2000, int), np.array([[5, 7]]), np.ones((1, 2)), gold, sizes, steps=400)
+    assert abs(toxicity.spread(t)) <= toxicity.MAX_SPREAD + 1e-9
+    assert toxicity.burn_in(t) < 1000
+
+
+def test_weak_forms_count_where_no_strong_ones_are():
+    clean = [["talk", f"plain{k}"] + (["nasty"] if k % 12 == 0 else []) for k in range(120)]
+    toxic = [["talk", f"{k:03d}x", "nasty"] for k in range(120)]
+    assert "wnasty" in toxicity.toxic_forms(clean + toxic, np.array([0] * 120 + [1] * 120))
+
+
+def test_two_word_texts_are_no_copies():
+    docs = [f"kind n{k}" for k in range(100)] + [f"nasty n{k}" for k in range(100)]
+    model = toxicity.fit_model(docs, np.repeat([0, 1], 100), {0: 100, 1: 100})
+    score = toxicity.Scorer(model).score(["nasty one", "kind one"])[0]
+    assert score[0] > 0.5 > score[1]
+
+
+def test_dual_coordinate_descent_against_a_plain_solver():
+    """Log-count ratios by hand, and the hinge-loss optimum by projected gradients on the dual."""
+    rng = np.random.default_rng(6)
+    rows = [np.unique(rng.integers(0, 40, rng.integers(3, 12))) for _ in range(60)]
+    y = np.array([int(5 in r or rng.random() < 0.3) for r in rows])
+    w, b = quality.fit_svm(rows, y, epochs=3000)
+    x = np.zeros((60, 40))
+    for k, r in enumerate(rows):
+        x[k, r] = 1
+    p, q = 1 + x[y == 1].sum(0), 1 + x[y == 0].sum(0)
+    ratio = np.log(p / ((y == 1).sum() + 2)) - np.log(q / ((y == 0).sum() + 2))
+    z = np.column_stack([x * ratio / np.sqrt(x.sum(1))[:, None], np.ones(60)]) * (2 * y - 1)[:, None]
+    cost = np.where(y == 1, 60 / (2 * (y == 1).sum()), 60 / (2 * (y == 0).sum()))
+    kernel, alpha = z @ z.T, np.zeros(60)
+    for _ in range(50_000):
+        alpha = np.clip(alpha + (1 - kernel @ alpha) / np.linalg.norm(kernel, 2), 0, cost)
+    best = alpha @ z
+    loss = lambda v: 0.5 * v @ v + (cost * np.maximum(0, 1 - z @ v)).sum()
+    own = np.append(np.divide(w[:40], ratio, out=np.zeros(40), where=ratio != 0), b)
+    assert loss(own) <= loss(best) * 1.001
+    assert np.abs(own - best)[ratio.nonzero()[0]].max() < 0.02
