@@ -19,10 +19,18 @@ def _places(chunks: DataFrame, rank: int) -> DataFrame:
     return g.explode_ranges(chunks.select(*own, clip.alias("clip")), "clip", rank, "at").drop("clip")
 
 
-def crop_cells(chunks: DataFrame, cells: DataFrame) -> DataFrame:
-    """Cells of each sample's chunks, clipped, at places relative to the box. ``cells(y, x, value)`` is dense."""
-    places = _places(chunks, 2).withColumns({"ay": F.col("at")[0], "ax": F.col("at")[1], "y": F.col("at")[0] - _box(0, "beg"), "x": F.col("at")[1] - _box(1, "beg")}).drop("at", "aabb")
-    return places.join(cells.select(F.col("y").alias("ay"), F.col("x").alias("ax"), "value"), ["ay", "ax"]).drop("ay", "ax")
+def crop_rows(chunks: DataFrame, rows: DataFrame) -> DataFrame:
+    """Cells of each sample's chunks, clipped, at places relative to the box. ``rows(y, values)``: a dense array's rows.
+
+    A chunk meets a row of the array once and takes a slice of it; cells become rows of their own at the very end.
+    """
+    clip = g.clip(F.col("aabb"), F.col("chunk_coord"), F.col("inner"))
+    own = chunks.select("batch_id", "sample_idx", "aabb", clip.alias("clip")).withColumn("y", F.explode(F.sequence(F.col("clip")[0]["beg"], F.col("clip")[0]["end"] - 1)))
+    first, end = F.col("clip")[1]["beg"], F.col("clip")[1]["end"]
+    part = F.slice("values", (first + 1).cast("int"), (end - first).cast("int"))
+    slices = own.join(rows, "y").select("batch_id", "sample_idx", (F.col("y") - _box(0, "beg")).alias("y"), (first - _box(1, "beg")).alias("x0"), part.alias("part"))
+    cells = slices.select("batch_id", "sample_idx", "y", "x0", F.posexplode("part").alias("dx", "value"))
+    return cells.select("batch_id", "sample_idx", "y", (F.col("x0") + F.col("dx")).alias("x"), "value")
 
 
 def fill_cells(chunks: DataFrame, fill: Column) -> DataFrame:

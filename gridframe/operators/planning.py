@@ -16,15 +16,17 @@ def validate_samples(samples: DataFrame, meta: DataFrame, sample_shape: list[int
     """``samples(sample_seq, uri, aabb)`` with a status, OK or the first rule that fails.
 
     INVAL: no uri, or another extent than asked for, or outside the array. RANK: another rank than asked for, or than
-    the array's. NOTFOUND: no such array. DTYPE: an element type that can't be cast.
+    the array's. NOTFOUND: no such array, or what ``meta``, if it has a status, says of it. DTYPE: an element type that
+    can't be cast. All columns of ``meta`` stay, its status as meta_status.
     """
     rank, want = len(sample_shape), F.array(*[F.lit(x).cast("long") for x in sample_shape])
-    joined = samples.join(meta.select("uri", "dtype", "shape", "inner", "shard"), "uri", "left")
+    meta = meta.withColumnRenamed("status", "meta_status") if "status" in meta.columns else meta.withColumn("meta_status", F.lit("OK"))
+    joined = samples.join(meta, "uri", "left")
     status = (
         F.when(F.col("uri").isNull(), "INVAL")
         .when(F.size("aabb") != rank, "RANK")
         .when(~F.forall(F.zip_with("aabb", want, lambda b, s: b["end"] - b["beg"] == s), lambda x: x), "INVAL")
-        .when(F.col("shape").isNull(), "NOTFOUND")
+        .when(F.col("shape").isNull(), F.coalesce(F.nullif("meta_status", F.lit("OK")), F.lit("NOTFOUND")))
         .when(F.size("shape") != rank, "RANK")
         .when(~g.castable(F.col("dtype")), "DTYPE")
         .when(~g.inside(F.col("aabb"), F.col("shape")), "INVAL")
@@ -33,6 +35,25 @@ def validate_samples(samples: DataFrame, meta: DataFrame, sample_shape: list[int
     return joined.withColumn("status", status)
 
 
+def enforce_limits(ranged: DataFrame, max_shards: int, max_chunk_bytes: int) -> DataFrame:
+    """Checked samples with ranges: INVAL beyond the shards that a sample may touch, BUDGET beyond the bytes of a decoded chunk."""
+    size = g.chunk_bytes(F.col("dtype"), F.col("inner"))
+    status = (
+        F.when(F.col("status") != "OK", F.col("status"))
+        .when((size == 0) | (size > max_chunk_bytes), "BUDGET")
+        .when(g.product(g.extents(F.col("shards"))) > max_shards, "INVAL")
+        .otherwise("OK")
+    )
+    return ranged.withColumn("status", status)
+
+
+def over_batch_cap(ranged: DataFrame, max_chunks: int) -> DataFrame:
+    """Checked samples with batch_id: all of a batch are BUDGET if its good samples have more chunks than that together."""
+    own = F.when(F.col("status") == "OK", g.product(g.extents(F.col("chunks")))).otherwise(0)
+    total = F.sum(own).over(Window.partitionBy("batch_id"))
+    return ranged.withColumn("status", F.when((F.col("status") == "OK") & (total > max_chunks), "BUDGET").otherwise(F.col("status")))
+
+
 def first_error(validated: DataFrame) -> DataFrame:
     """One row: how many samples come before the first bad one, and its status; all and OK if none is bad."""
     bad = F.col("status") != "OK"

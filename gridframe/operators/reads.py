@@ -1,11 +1,16 @@
-"""From loads to read operations: page windows, order, fusion under caps, interleaving, groups and waves.
+"""From loads to read operations: page windows, order, fusion under caps, interleaving and groups.
 
-A batch has at most ``MAX_BATCH_CHUNKS`` chunks, so a fold over one batch, or over one file of a batch, is bounded, and
-batches are the parallel axis. Folds are SQL aggregates over sorted arrays, evaluated by the JVM.
+A batch has at most ``MAX_BATCH_CHUNKS`` chunks (``planning.over_batch_cap`` rejects larger ones), and batches are the
+parallel axis. Fusion under caps follows its rows in order and holds one open read; crops are read by the same rule.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from itertools import groupby
+from typing import TypeVar
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,9 +20,10 @@ from gridframe.functions import grid as g
 MAX_BATCH_CHUNKS = 16384
 PAGE_BYTES = 4096
 MAX_READ_BYTES = 4 << 20
-MAX_WAVE_CHUNKS = 512
+MAX_READ_CHUNKS = 512
 
 BATCH_FILE = ["batch_id", "path"]
+T = TypeVar("T")
 
 
 def align(loads: DataFrame, page: int = PAGE_BYTES) -> DataFrame:
@@ -42,27 +48,45 @@ def fuse_touching(windows: DataFrame) -> DataFrame:
     return islands.groupBy(*BATCH_FILE, "island").agg(F.min("win_offset").alias("file_offset"), (end - F.min("win_offset")).alias("nbytes"), F.count("*").alias("n_chunks")).drop("island")
 
 
-def fuse_capped(windows: DataFrame, max_bytes: int = MAX_READ_BYTES, max_chunks: int = MAX_WAVE_CHUNKS) -> DataFrame:
-    """(batch_id, path, read_no, file_offset, nbytes, slots): greedy fusion in order of offset, within a batch's file.
+def fuse(windows: Iterable[tuple[int, int, T]], max_bytes: int, max_chunks: int) -> Iterator[tuple[int, int, list[T]]]:
+    """Reads (begin, bytes, items) from windows (begin, bytes, item) in order of begin, greedily.
 
     A window joins the open read if it begins inside it or where it ends, and neither cap breaks; else it opens one. A
-    lone window above the cap stays whole. ``slots`` lists the read's chunks in order.
+    lone window above the cap stays whole.
     """
-    rows = F.array_sort(F.collect_list(F.struct("win_offset", "slot", "win_nbytes")))
-
-    def opened(x):
-        return F.struct(x["win_offset"].alias("o"), x["win_nbytes"].alias("n"), F.array(x["slot"]).alias("slots"))
-
-    def step(reads, x):
-        last = F.element_at(reads, -1)
-        size = F.greatest(x["win_offset"] + x["win_nbytes"], last["o"] + last["n"]) - last["o"]
-        fits = (x["win_offset"] <= last["o"] + last["n"]) & (F.size(last["slots"]) < max_chunks) & (size <= max_bytes)
-        longer = F.struct(last["o"].alias("o"), size.alias("n"), F.concat(last["slots"], F.array(x["slot"])).alias("slots"))
-        return F.when(fits, F.concat(F.slice(reads, 1, F.size(reads) - 1), F.array(longer))).otherwise(F.concat(reads, F.array(opened(x))))
-
-    fold = F.aggregate(F.slice("_rows", 2, F.size("_rows")), F.array(opened(F.element_at("_rows", 1))), step)
-    fused = windows.groupBy(*BATCH_FILE).agg(rows.alias("_rows")).select(*BATCH_FILE, F.posexplode(fold).alias("read_no", "_r"))
-    return fused.select(*BATCH_FILE, F.col("read_no").cast("long"), F.col("_r.o").alias("file_offset"), F.col("_r.n").alias("nbytes"), F.col("_r.slots").alias("slots"))
+    begin = end = 0
+    items: list[T] = []
+    for at, size, item in windows:
+        far = max(end, at + size)
+        if items and (at > end or len(items) >= max_chunks or far - begin > max_bytes):
+            yield begin, end - begin, items
+            items = []
+        if not items:
+            begin, far = at, at + size
+        end = far
+        items.append(item)
+    if items:
+        yield begin, end - begin, items
+
+
+def fuse_capped(windows: DataFrame, max_bytes: int = MAX_READ_BYTES, max_chunks: int = MAX_READ_CHUNKS) -> DataFrame:
+    """(batch_id, path, read_no, file_offset, nbytes, slots): ``fuse`` within each batch's file; ``slots`` lists a read's chunks in order."""
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+    names = ["batch_id", "path", "read_no", "file_offset", "nbytes", "slots"]
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in batches:
+            yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (batch, path), rows in groupby(stream(batches), lambda r: r[:2]):
+            reads = list(fuse(((at, size, slot) for *_, at, slot, size in rows), max_bytes, max_chunks))
+            out = [(batch, path, k, at, size, slots) for k, (at, size, slots) in enumerate(reads)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    rows = windows.select(F.col("batch_id").cast("long"), "path", "win_offset", F.col("slot").cast("long"), "win_nbytes")
+    ordered = rows.repartition(*BATCH_FILE).sortWithinPartitions(*BATCH_FILE, "win_offset", "slot")
+    return ordered.mapInArrow(run, "batch_id long, path string, read_no long, file_offset long, nbytes long, slots array<long>")
 
 
 def chunk_reads(windows: DataFrame, reads: DataFrame) -> DataFrame:
@@ -86,24 +110,3 @@ def group_chunks(ordered_reads: DataFrame, chunk_bytes: DataFrame) -> DataFrame:
     groups = members.groupBy("batch_id", "read_op_idx").agg(F.first("nbytes").alias("nbytes"), F.count("*").alias("n_chunks"), F.sum("decompressed").alias("total_decompressed"))
     before = Window.partitionBy("batch_id").orderBy("read_op_idx").rowsBetween(Window.unboundedPreceding, -1)
     return groups.withColumn("first_chunk", F.coalesce(F.sum("n_chunks").over(before), F.lit(0)))
-
-
-def pack_waves(groups: DataFrame, max_input: int, max_chunks: int, max_output: int) -> DataFrame:
-    """Adds wave_id and, within the wave, host_offset and dev_offset: whole groups in order, until one cap would break.
-
-    A first group above a cap has a wave of its own and status BUDGET.
-    """
-    rows = F.array_sort(F.collect_list(F.struct("read_op_idx", "nbytes", "n_chunks", "total_decompressed")))
-    zero = F.lit(0).cast("long")
-    start = F.struct(F.lit(-1).cast("long").alias("wave"), zero.alias("i"), zero.alias("c"), zero.alias("o"), F.array().cast("array<struct<read_op_idx:bigint,wave_id:bigint,host_offset:bigint,dev_offset:bigint>>").alias("out"))
-
-    def step(s, x):
-        fits = (s["wave"] >= 0) & (s["i"] + x["nbytes"] <= max_input) & (s["c"] + x["n_chunks"] <= max_chunks) & (s["o"] + x["total_decompressed"] <= max_output)
-        wave, host, dev = F.when(fits, s["wave"]).otherwise(s["wave"] + 1), F.when(fits, s["i"]).otherwise(zero), F.when(fits, s["o"]).otherwise(zero)
-        placed = F.struct(x["read_op_idx"].alias("read_op_idx"), wave.alias("wave_id"), host.alias("host_offset"), dev.alias("dev_offset"))
-        chunks = F.when(fits, s["c"]).otherwise(zero) + x["n_chunks"]
-        return F.struct(wave.alias("wave"), (host + x["nbytes"]).alias("i"), chunks.alias("c"), (dev + x["total_decompressed"]).alias("o"), F.concat(s["out"], F.array(placed)).alias("out"))
-
-    placed = groups.groupBy("batch_id").agg(rows.alias("_rows")).select("batch_id", F.explode(F.aggregate("_rows", start, step, lambda s: s["out"])).alias("_p")).select("batch_id", "_p.*")
-    over = (F.col("nbytes") > max_input) | (F.col("n_chunks") > max_chunks) | (F.col("total_decompressed") > max_output)
-    return groups.join(placed, ["batch_id", "read_op_idx"]).withColumn("status", F.when(over, "BUDGET").otherwise("OK"))

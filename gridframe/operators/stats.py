@@ -1,4 +1,4 @@
-"""Measurements: histograms of latency, percentiles from them, stage metrics, and keys that may be evicted."""
+"""Measurements: histograms of latency, percentiles from them, stage metrics and ratios."""
 
 from __future__ import annotations
 
@@ -31,11 +31,6 @@ def metrics(measured: DataFrame) -> DataFrame:
     return measured.groupBy("kind").agg(F.sum("ns").alias("total_ns"), F.min("ns").alias("best_ns"), F.count("*").alias("n"))
 
 
-def evictable(accesses: DataFrame, key: str, owner: str, watermark: int) -> DataFrame:
-    """Each key's last owner, and whether it lies before the watermark."""
-    return accesses.groupBy(key).agg(F.max(owner).alias("max_owner"), (F.max(owner) < watermark).alias("evictable"))
-
-
 def throughput(total: DataFrame) -> DataFrame:
     """Ratios of one row of totals (bytes, samples, chunks, batches, wall_ms, stage_ms), 0 where the divisor is."""
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)

@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import os
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridframe.config import Config
 from gridframe.functions import grid as g
 from gridframe.operators import assembly, planning, reads, stats
+from gridframe.pipeline import Pipeline
 from gridframe.plans import lenses as L
-from gridframe.sources import zarr
+from gridframe.sources import arrays, codecs, zarr
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 PAGE_CAP, CHUNK_CAP = 65536, 8
-WAVE_INPUT, WAVE_CHUNKS, WAVE_OUTPUT = 262144, 64, 1 << 20
+#: Chunks that a batch may have in the query of the cap, so that some batches pass it.
+BATCH_CAP = 16
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -60,7 +66,8 @@ def _box(k: int, end: str):
 )
 def crop_batches_emb(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: samples, chunks, cells, clip, batches."""
-    return assembly.crop_cells(planning.sample_chunks(_sealed(spark, sf_dir), 2), L.embedding_cells(spark, sf_dir)).select("batch_id", "sample_idx", "y", "x", "value")
+    rows = L.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("y"), F.col("embedding").alias("values"))
+    return assembly.crop_rows(planning.sample_chunks(_sealed(spark, sf_dir), 2), rows)
 
 
 def _sealed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,15 +138,27 @@ def batch_seal_drop_last(spark, sf_dir):
     return sealed.groupBy("batch_id").agg(F.count("*").alias("n"), F.min("sample_seq").alias("first_seq"), F.max("sample_seq").alias("last_seq"))
 
 
-@query(with_samples(f"SELECT seq // {L.BATCH} AS batch_id, count(*) AS n, count(*) > 16 AS over FROM chunks WHERE seq // {L.BATCH} < (SELECT count(*) FROM smp) // {L.BATCH} GROUP BY 1"))
+@query(
+    with_samples(
+        f"""SELECT c.seq, CASE WHEN n > {BATCH_CAP} THEN 'BUDGET' ELSE 'OK' END AS status
+        FROM (SELECT seq, count(*) AS own FROM chunks WHERE seq // {L.BATCH} < (SELECT count(*) FROM smp) // {L.BATCH} GROUP BY 1) c
+        JOIN (SELECT seq // {L.BATCH} AS batch_id, count(*) AS n FROM chunks GROUP BY 1) b ON c.seq // {L.BATCH} = batch_id"""
+    )
+)
 def batch_chunk_cap(spark, sf_dir):
-    return planning.sample_chunks(_sealed(spark, sf_dir), 2).groupBy("batch_id").agg(F.count("*").alias("n"), (F.count("*") > 16).alias("over"))
+    ranged = _sealed(spark, sf_dir).withColumn("status", F.lit("OK"))
+    return planning.over_batch_cap(ranged, BATCH_CAP).select(F.col("sample_seq").alias("seq"), "status")
 
 
-@query(with_samples("SELECT seq, ((cy1 - 1) // 4 + 1 - cy0 // 4) * ((cx1 - 1) // 2 + 1 - cx0 // 2) AS n_shards, ((cy1 - 1) // 4 + 1 - cy0 // 4) * ((cx1 - 1) // 2 + 1 - cx0 // 2) <= 1 AS ok FROM grid"))
+@query(
+    with_samples(
+        """SELECT seq, CASE WHEN ((cy1 - 1) // 4 + 1 - cy0 // 4) * ((cx1 - 1) // 2 + 1 - cx0 // 2) > 1 THEN 'INVAL' ELSE 'OK' END AS status FROM grid"""
+    )
+)
 def max_shards_guard(spark, sf_dir):
-    n = g.product(g.extents(F.col("shards")))
-    return _ranged(spark, sf_dir).select(F.col("sample_seq").alias("seq"), n.alias("n_shards"), (n <= 1).alias("ok"))
+    """Samples that touch more than one shard, where one is allowed."""
+    ranged = _ranged(spark, sf_dir).withColumn("status", F.lit("OK"))
+    return planning.enforce_limits(ranged, 1, 1 << 20).select(F.col("sample_seq").alias("seq"), "status")
 
 
 @query(with_samples("SELECT DISTINCT uri, cy // 4 AS shard_y, cx // 2 AS shard_x FROM chunks JOIN smp USING (seq)"))
@@ -228,14 +247,18 @@ def inner_per_shard(spark, sf_dir):
     return _geometry(spark, sf_dir).select("k", *[ips[i].alias(f"ips_{i}") for i in range(3)], g.product(ips).alias("total"), g.chunk_bytes(F.col("dtype"), F.col("inner")).alias("chunk_bytes"))
 
 
+def _documents(spark, sf_dir):
+    """Metadata documents made from the table."""
+    return _geometry(spark, sf_dir).select(F.concat(F.lit("a/"), F.col("k").cast("string")).alias("uri"), zarr.metadata_json(F.col("shape"), F.col("inner"), F.col("shard"), F.col("dtype"), F.col("codec"), F.when(F.col("k") % 2 == 0, "end").otherwise("start"), (F.col("k") % 7).cast("string")).alias("json"))
+
+
 @query(
     f"""WITH {_NATION} SELECT 'a/' || k AS uri, dtype, 3 AS rank, 2 * inner_[1] * f[1] AS shape_0, inner_[2] AS inner_1, inner_[3] * f[3] AS shard_2, true AS sharded, codec,
     k % 2 = 0 AS index_at_end, CAST(k % 7 AS FLOAT) AS fill_f32, 'OK' AS status FROM m"""
 )
 def array_meta_parse(spark, sf_dir):
     """Metadata documents made from the table, then parsed."""
-    docs = _geometry(spark, sf_dir).select(F.concat(F.lit("a/"), F.col("k").cast("string")).alias("uri"), zarr.metadata_json(F.col("shape"), F.col("inner"), F.col("shard"), F.col("dtype"), F.col("codec"), F.when(F.col("k") % 2 == 0, "end").otherwise("start"), (F.col("k") % 7).cast("string")).alias("json"))
-    m = zarr.parse_metadata(docs)
+    m = zarr.parse_metadata(_documents(spark, sf_dir))
     return m.select("uri", "dtype", "rank", F.col("shape")[0].alias("shape_0"), F.col("inner")[1].alias("inner_1"), F.col("shard")[2].alias("shard_2"), "sharded", "codec", "index_at_end", "fill_f32", "status")
 
 
@@ -253,6 +276,43 @@ def castable_dtypes(spark, sf_dir):
     return _geometry(spark, sf_dir).select("k", "dtype", g.castable(F.col("dtype")).alias("ok"))
 
 
+@query(f"WITH {_NATION} SELECT k, CASE WHEN bpe * inner_[1] * inner_[2] * inner_[3] > 64 THEN 'BUDGET' ELSE 'OK' END AS status FROM m")
+def chunk_cap(spark, sf_dir):
+    """Decoded chunks of more bytes than allowed."""
+    one = F.array_repeat(F.struct(F.lit(0).cast("long").alias("beg"), F.lit(1).cast("long").alias("end")), 3)
+    ranged = _geometry(spark, sf_dir).withColumns({"status": F.lit("OK"), "shards": one})
+    return planning.enforce_limits(ranged, 1, 64).select("k", "status")
+
+
+@query(f"WITH {_NATION} SELECT 'a/' || k AS uri, 2 * inner_[1] * f[1] AS shape_0, 2 * inner_[3] * f[3] AS shape_2 FROM m WHERE 2 * inner_[1] * f[1] >= 4 AND 2 * inner_[2] * f[2] >= 10 AND 2 * inner_[3] * f[3] >= 9")
+def array_table(spark, sf_dir):
+    """Arrays that boxes of 4 x 10 x 9 fit into."""
+    found = arrays.array_table(zarr.parse_metadata(_documents(spark, sf_dir)), (4, 10, 9))
+    return found.select("uri", F.col("shape")[0].alias("shape_0"), F.col("shape")[2].alias("shape_2"))
+
+
+@query("SELECT 'plate/' || n_regionkey || '/' || n_nationkey || '/' || (n_nationkey % 2) || '/0' AS uri FROM nation")
+def plate_manifest(spark, sf_dir):
+    """A plate laid out as folders, with other levels beside the one that is looked for, then scanned."""
+    root, n = zarr.scratch_store(spark), L.table(spark, sf_dir, "nation")
+    uri = F.concat_ws("/", F.lit("plate"), "n_regionkey", "n_nationkey", F.col("n_nationkey") % 2, "level")
+    docs = n.withColumn("level", F.explode(F.array(F.lit("0"), F.lit("1")))).select(uri.alias("uri"), F.lit("{}").alias("json"))
+    arrays.touch_arrays(docs, root).count()
+    return arrays.scan_plate(spark, root, "plate")
+
+
+@query(
+    """WITH n AS (SELECT count(*) AS n FROM embeddings), r AS (SELECT o_orderkey AS seq, CAST('0x' || substr(md5('7:0:' || o_orderkey), 1, 15) AS BIGINT) AS a,
+        CAST('0x' || substr(md5('7:1:' || o_orderkey), 1, 15) AS BIGINT) AS b FROM orders)
+    SELECT seq, a % (n - 4 + 1) AS beg_y, b % (64 - 5 + 1) AS beg_x FROM r, n WHERE seq < (SELECT count(*) FROM orders)"""
+)
+def seeded_crops(spark, sf_dir):
+    """As many crops as there are orders, drawn from the embedding array."""
+    one = L.embedding_meta(spark, sf_dir).where("uri = 'emb/0'").withColumn("status", F.lit("OK"))
+    crops = arrays.random_crops(arrays.array_table(one, L.BOX), L.table(spark, sf_dir, "orders").count(), L.BOX, seed=7)
+    return crops.select(F.col("sample_seq").alias("seq"), _box(1, "beg").alias("beg_y"), _box(2, "beg").alias("beg_x"))
+
+
 @query(f"WITH {_NATION} SELECT k, codec, dtype FROM m")
 def codec_cycle(spark, sf_dir):
     return _geometry(spark, sf_dir).select("k", "codec", "dtype")
@@ -289,9 +349,59 @@ def ready_prefix(spark, sf_dir):
 # ---- shard index and reads ------------------------------------------------------------------------------------------
 
 
-@query(with_index('SELECT path AS source, slot, "offset", nbytes, is_empty FROM idx'))
+INDEX_SLOTS = 512
+
+
+@query(with_index(f"""SELECT path || '#' || (slot // {INDEX_SLOTS}) AS shard, slot % {INDEX_SLOTS} AS slot, CASE WHEN is_empty THEN NULL ELSE "offset" END AS "offset", CASE WHEN is_empty THEN NULL ELSE nbytes END AS nbytes, 'OK' AS status FROM idx"""))
 def shard_index_layout(spark, sf_dir):
-    return L.shard_index(spark, sf_dir).select(F.col("path").alias("source"), "slot", "offset", "nbytes", "is_empty")
+    """Indexes of up to 512 slots, encoded to bytes and decoded again."""
+    shard = F.concat_ws("#", "path", g.div(F.col("slot"), INDEX_SLOTS))
+    entry = F.struct("slot", F.when(~F.col("is_empty"), F.struct("offset", "nbytes")).alias("entry"))
+    files = L.shard_index(spark, sf_dir).groupBy(shard.alias("key")).agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["entry"]).alias("entries"))
+    decoded = zarr.index_rows(zarr.index_bytes(files))
+    slots = decoded.select(F.col("key").alias("shard"), F.posexplode("entries").alias("slot", "entry"), F.col("index_status").alias("status"))
+    return slots.select("shard", F.col("slot").cast("long"), "entry.offset", "entry.nbytes", "status")
+
+
+def _damage(shards: DataFrame, root: str, how: str) -> DataFrame:
+    """Removes the files of ``shards(shard_coord)`` below ``root``, or flips their last byte, in the index's checksum."""
+
+    @F.pandas_udf("boolean")
+    def one(coords: pd.Series) -> pd.Series:
+        for coord in coords:
+            path = zarr.shard_file(root, coord)
+            if not os.path.exists(path):
+                continue
+            if how == "remove":
+                os.remove(path)
+            else:
+                with open(path, "r+b") as f:
+                    f.seek(-1, os.SEEK_END)
+                    last = f.read(1)[0]
+                    f.seek(-1, os.SEEK_END)
+                    f.write(bytes([last ^ 255]))
+        return coords.map(lambda _: True)
+
+    return shards.select(one("shard_coord").alias("done")).where("done")
+
+
+@query(
+    with_samples(
+        """SELECT seq, CASE WHEN bool_or(((cy // 4) * 2 + cx // 2) % 3 = 1) THEN 'DECODE' ELSE 'OK' END AS status
+        FROM chunks WHERE seq // 8 < (SELECT count(*) FROM smp) // 8 GROUP BY 1"""
+    )
+)
+def broken_shards(spark, sf_dir):
+    """Statuses of samples over a store in which the index of every third shard has a wrong checksum and every other third shard is missing."""
+    root = f"{_store(spark, sf_dir)}/emb"
+    samples = L.samples(spark, sf_dir).withColumn("uri", F.lit(root))
+    shards = spark.range(-(-L.table(spark, sf_dir, "embeddings").count() // L.SHARD[0]) * 2).select(F.array(g.div(F.col("id"), 2), F.col("id") % 2).alias("shard_coord"))
+    place = F.col("shard_coord")[0] * 2 + F.col("shard_coord")[1]
+    _damage(shards.where(place % 3 == 1), root, "flip").count()
+    _damage(shards.where(place % 3 == 2), root, "remove").count()
+    pipeline = Pipeline(spark, Config(L.BOX, L.BATCH))
+    pipeline.push(samples, L.table(spark, sf_dir, "orders").count())
+    return pipeline.statuses().select(F.col("sample_seq").alias("seq"), "status")
 
 
 def _planned(spark, sf_dir):
@@ -351,12 +461,7 @@ walk AS (SELECT batch_id, path, slot, "offset", rn, 0 AS read_no, wo AS lo, wo +
 fused AS (SELECT batch_id, path, CAST(read_no AS BIGINT) AS read_no, min(lo) AS file_offset, max(hi) - min(lo) AS nbytes, count(*) AS n_chunks FROM walk GROUP BY batch_id, path, read_no),
 ordered AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY read_no, path) - 1 AS read_op_idx FROM fused),
 member AS (SELECT o.batch_id, o.read_op_idx, o.nbytes, w.slot, w.path, n.nbytes AS dec FROM ordered o JOIN walk w USING (batch_id, path, read_no) JOIN num n USING (batch_id, path, slot)),
-grp AS (SELECT batch_id, read_op_idx, min(nbytes) AS nbytes, count(*) AS n_chunks, CAST(sum(4 * dec) AS BIGINT) AS total FROM member GROUP BY 1, 2),
-pack AS (SELECT batch_id, read_op_idx, 0 AS wave_id, CAST(0 AS BIGINT) AS host, CAST(0 AS BIGINT) AS dev, nbytes AS i, n_chunks AS c, total AS o FROM grp WHERE read_op_idx = 0
-  UNION ALL SELECT x.batch_id, x.read_op_idx, CASE WHEN ok THEN p.wave_id ELSE p.wave_id + 1 END, CASE WHEN ok THEN p.i ELSE 0 END, CASE WHEN ok THEN p.o ELSE 0 END,
-    CASE WHEN ok THEN p.i ELSE 0 END + x.nbytes, CASE WHEN ok THEN p.c ELSE 0 END + x.n_chunks, CASE WHEN ok THEN p.o ELSE 0 END + x.total
-  FROM pack p JOIN grp x ON x.batch_id = p.batch_id AND x.read_op_idx = p.read_op_idx + 1,
-    LATERAL (SELECT p.i + x.nbytes <= {WAVE_INPUT} AND p.c + x.n_chunks <= {WAVE_CHUNKS} AND p.o + x.total <= {WAVE_OUTPUT} AS ok))"""
+grp AS (SELECT batch_id, read_op_idx, min(nbytes) AS nbytes, count(*) AS n_chunks, CAST(sum(4 * dec) AS BIGINT) AS total FROM member GROUP BY 1, 2)"""
 
 
 @query(with_index("SELECT batch_id, path, read_no, file_offset, nbytes, n_chunks FROM fused", _FUSE))
@@ -392,41 +497,35 @@ def group_by_read(spark, sf_dir):
     return _groups(spark, sf_dir).select("batch_id", "read_op_idx", "first_chunk", "n_chunks", "total_decompressed")
 
 
-@query(with_index("SELECT p.batch_id, CAST(p.wave_id AS BIGINT) AS wave_id, count(*) AS n_groups, CAST(sum(g.nbytes) AS BIGINT) AS bytes FROM pack p JOIN grp g USING (batch_id, read_op_idx) GROUP BY 1, 2", _FUSE))
-def wave_pack(spark, sf_dir):
-    return reads.pack_waves(_groups(spark, sf_dir), WAVE_INPUT, WAVE_CHUNKS, WAVE_OUTPUT).groupBy("batch_id", "wave_id").agg(F.count("*").alias("n_groups"), F.sum("nbytes").alias("bytes"))
-
+@query("""WITH d AS (SELECT doc_id, 512 + octet_length(encode(text)) AS n FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, b AS block, least(512, n - b * 512) AS nbytes FROM d, LATERAL (SELECT unnest(range(CAST((n + 511) // 512 AS BIGINT))) AS b)""")
+def blosc_blocks(spark, sf_dir):
+    """Blocks of compressed chunks as their headers tell them; the last one may be short. A chunk has a text's size and one block more."""
+    docs = L.table(spark, sf_dir, "documents").where("text IS NOT NULL")
 
-@query(with_index("SELECT batch_id, read_op_idx, CAST(wave_id AS BIGINT) AS wave_id, host AS host_offset, dev AS dev_offset FROM pack", _FUSE))
-def wave_offsets(spark, sf_dir):
-    return reads.pack_waves(_groups(spark, sf_dir), WAVE_INPUT, WAVE_CHUNKS, WAVE_OUTPUT).select("batch_id", "read_op_idx", "wave_id", "host_offset", "dev_offset")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                sizes = [own for _, own in codecs.blosc_blocks(codecs.blosc_encode(bytes(512 + n), 1, 512))]
+                rows = {"doc_id": [doc] * len(sizes), "block": list(range(len(sizes))), "nbytes": sizes}
+                yield pa.RecordBatch.from_pydict(rows, pa.schema([(k, pa.int64()) for k in rows]))
 
+    return docs.select("doc_id", F.octet_length("text").alias("n")).mapInArrow(run, "doc_id long, block long, nbytes long")
 
-@query("SELECT doc_id, b AS block, least(512, n_chars - b * 512) AS nbytes FROM documents, LATERAL (SELECT unnest(range(CAST((n_chars + 511) // 512 AS BIGINT))) AS b)")
-def blosc_blocks(spark, sf_dir):
-    """Blocks of a compressed chunk; the last one may be short."""
-    docs = L.table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").alias("n")).where("n > 0")
-    return docs.select("doc_id", "n", F.explode(F.expr("sequence(0L, (n + 511) div 512 - 1)")).alias("block")).select("doc_id", "block", F.least(F.lit(512).cast("long"), F.col("n") - F.col("block") * 512).alias("nbytes"))
 
-
-@query("WITH h AS (SELECT doc_id, hex(encode(substr(repeat(source || lang || '________________', 1), 1, 16))) AS h FROM documents) SELECT doc_id, h AS shuffled, list_aggregate(list_transform(range(16), lambda i: substr(h, CAST(((i % 4) * 4 + i // 4) * 2 + 1 AS INTEGER), 2)), 'string_agg', '') AS plain FROM h")
+@query("""WITH d AS (SELECT doc_id, hex(encode(text)) AS h, octet_length(encode(text)) // 4 AS n FROM documents WHERE text IS NOT NULL),
+    u AS (SELECT doc_id, list_aggregate(list_transform(range(4 * n), lambda j: substr(h, CAST(((j % 4) * n + j // 4) * 2 + 1 AS BIGINT), 2)), 'string_agg', '') AS head, substr(h, 8 * n + 1) AS tail FROM d)
+    SELECT doc_id, sha256(unhex(coalesce(head, '') || tail)) AS plain_sha256 FROM u""")
 def byte_unshuffle(spark, sf_dir):
-    """Sixteen bytes as four elements of four bytes: byte b of element e comes from b * 4 + e."""
-    docs = L.table(spark, sf_dir, "documents").select("doc_id", F.hex(F.substring(F.concat("source", "lang", F.lit("________________")), 1, 16)).alias("shuffled"))
-    pieces = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.substr(F.col("shuffled"), ((i % 4) * 4 + g.div(i, 4)).cast("int") * 2 + 1, F.lit(2)))
-    return docs.withColumn("plain", F.array_join(pieces, ""))
+    """Whole texts' bytes as elements of four bytes: byte b of element e comes from b * n + e."""
+    unshuffled = F.pandas_udf(lambda texts: texts.map(lambda t: codecs.unshuffle(t.encode(), 4)), "binary")
+    docs = L.table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    return docs.select("doc_id", F.sha2(unshuffled("text"), 256).alias("plain_sha256"))
 
 
 # ---- measurements and the rest --------------------------------------------------------------------------------------
 
 
-@query("SELECT user_id, max(event_id) AS max_owner, max(event_id) < (SELECT count(*) FROM events) // 2 AS evictable FROM events GROUP BY 1")
-def watermark_evictable(spark, sf_dir):
-    """Keys whose last owner lies before the watermark."""
-    events = L.table(spark, sf_dir, "events")
-    return stats.evictable(events.select(F.col("user_id"), F.col("event_id")), "user_id", "event_id", events.count() // 2)
-
-
 _LAT = "lat AS (SELECT event_type AS kind, CAST(round(value * 1000000) AS BIGINT) AS ns FROM events), bkt AS (SELECT kind, CAST(least(47, length(bin(greatest(ns, 1))) - 1) AS INTEGER) AS bucket, ns FROM lat)"
 
 
@@ -460,12 +559,13 @@ def json_query(spark, sf_dir):
     return L.table(spark, sf_dir, "events").select("event_id", k.alias("k")).where("k >= 50")
 
 
-@query("SELECT CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 1 END AS push_no, o_orderkey // 2 AS pos, o_orderkey AS seq FROM orders")
+@query(with_samples("SELECT seq // 2 + CASE WHEN seq % 2 = 1 THEN (SELECT count(*) FROM smp WHERE seq % 2 = 0) ELSE 0 END AS seq, uri, y0 AS beg_y FROM smp"))
 def union_pushes(spark, sf_dir):
-    """Two pushes, each with its own order."""
-    s = L.samples(spark, sf_dir).select(F.col("sample_seq").alias("seq"))
-    pushes = [s.where(F.col("seq") % 2 == k).select(F.lit(k).alias("push_no"), g.div(F.col("seq"), 2).alias("pos"), "seq") for k in (0, 1)]
-    return pushes[0].unionByName(pushes[1])
+    """Two pushes, each numbered for itself; the pipeline's numbers go on."""
+    pipeline, s = Pipeline(spark, Config(L.BOX, L.BATCH)), L.samples(spark, sf_dir)
+    for k in (0, 1):
+        pipeline.push(s.where(F.col("sample_seq") % 2 == k).withColumn("sample_seq", g.div(F.col("sample_seq"), 2)))
+    return pipeline.samples().select(F.col("sample_seq").alias("seq"), "uri", _box(1, "beg").alias("beg_y"))
 
 
 @query(with_samples("SELECT seq, y0 AS beg_y, x0 AS beg_x, y0 >= 0 AND y0 + 4 <= n AND x0 >= 0 AND x0 + 5 <= 64 AS inside FROM smp, n"))
@@ -474,12 +574,18 @@ def random_crops(spark, sf_dir):
     return _ranged(spark, sf_dir).select(F.col("sample_seq").alias("seq"), _box(1, "beg").alias("beg_y"), _box(2, "beg").alias("beg_x"), g.inside(F.col("aabb"), F.col("shape")).alias("inside"))
 
 
+def _store(spark, sf_dir):
+    """The embedding array as a sharded store; a new one each time."""
+    root, emb = zarr.scratch_store(spark), L.table(spark, sf_dir, "embeddings")
+    rows = emb.select(F.col("vec_id").alias("row"), F.col("embedding").alias("values"))
+    zarr.write_array(rows, f"{root}/emb", (emb.count(), L.WIDTH), L.INNER, L.SHARD, "float32", "blosc_zstd")
+    return root
+
+
 @query(ORACLE_SQL["crop_batches_emb"])
 def zarr_roundtrip(spark, sf_dir):
     """The flagship by the physical path: the array is written as a sharded store and crops are read from its bytes."""
-    root = zarr.scratch_store(spark)
-    zarr.write_array(L.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row"), F.col("embedding").alias("values")), f"{root}/emb", L.INNER, L.SHARD, L.WIDTH, "float32", "blosc_zstd")
-    samples = L.samples(spark, sf_dir).withColumn("uri", F.lit(f"{root}/emb"))
+    samples = L.samples(spark, sf_dir).withColumn("uri", F.lit(f"{_store(spark, sf_dir)}/emb"))
     sealed = planning.seal_batches(samples, L.BATCH, L.table(spark, sf_dir, "orders").count())
-    blocks = zarr.read_crops(sealed, list(L.BOX))
+    blocks = zarr.read_crops(sealed, list(L.BOX)).where("status = 'OK'")
     return assembly.block_cells(blocks, list(L.BOX)).select("batch_id", "sample_idx", "y", "x", "value")

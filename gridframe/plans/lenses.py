@@ -58,12 +58,6 @@ def embedding_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def embedding_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """y, x, value of the embedding array with the chunk that holds each cell."""
-    cells = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("y"), F.posexplode("embedding").alias("x", "value"))
-    return cells.select(F.col("y"), F.col("x").cast("long").alias("x"), "value", F.expr(f"y div {INNER[0]}").alias("cy"), F.expr(f"CAST(x AS BIGINT) div {INNER[1]}").alias("cx"))
-
-
 def faulty_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples with a fault by the remainder of their number by 16."""
     kind = F.col("sample_seq") % 16

@@ -3,36 +3,36 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
 SAMPLES = "sample_seq bigint, uri string, aabb array<struct<beg:bigint,end:bigint>>"
 
 
-def axis_range(axis: slice | tuple[int, int]) -> tuple[int, int]:
-    """An axis as (begin, end): a slice with an end and step 1, or a pair."""
-    if isinstance(axis, slice):
-        if axis.step not in (None, 1):
-            raise ValueError("a slice must have step 1")
-        if axis.stop is None:
-            raise ValueError("a slice must have an end")
-        axis = (axis.start or 0, axis.stop)
-    if not isinstance(axis, tuple) or len(axis) != 2:
-        raise TypeError("an axis is a slice or a pair")
-    return int(axis[0]), int(axis[1])
+class Box(NamedTuple):
+    """One sample as it is pushed; ``Sample`` makes it from slices or pairs."""
 
-
-@dataclass(frozen=True)
-class Sample:
     uri: str
     aabb: tuple[tuple[int, int], ...]
 
-    def __init__(self, uri: str, aabb: Iterable[slice | tuple[int, int]]):
-        object.__setattr__(self, "uri", uri)
-        object.__setattr__(self, "aabb", tuple(map(axis_range, aabb)))
+
+def bounds(axis: slice | tuple[int, int]) -> tuple[int, int]:
+    """Begin and end of an axis. Slices need an end and no step; their begin may be missing."""
+    match axis:
+        case slice(start=begin, stop=int(end), step=None | 1):
+            return int(begin or 0), end
+        case slice():
+            raise ValueError("a slice has an end, and no step but 1")
+        case (begin, end):
+            return int(begin), int(end)
+    raise TypeError("an axis is a slice or a pair")
+
+
+def Sample(uri: str, aabb: Iterable[slice | tuple[int, int]]) -> Box:  # noqa: N802
+    return Box(uri, tuple(map(bounds, aabb)))
 
 
-def samples_df(spark: SparkSession, samples: Iterable[Sample], first: int = 0) -> DataFrame:
+def samples_df(spark: SparkSession, samples: Iterable[Box], first: int = 0) -> DataFrame:
     """Samples numbered in their order from ``first``."""
     return spark.createDataFrame([(first + k, s.uri, list(s.aabb)) for k, s in enumerate(samples)], SAMPLES)

@@ -17,23 +17,51 @@ class DecodeError(ValueError):
     """Bytes that don't follow their format."""
 
 
-def _crc_table() -> list[int]:
-    table = []
-    for k in range(256):
-        for _ in range(8):
-            k = k >> 1 ^ (CRC32C if k & 1 else 0)
-        table.append(k)
+def _crc_table() -> np.ndarray:
+    """The register after one byte, from zero."""
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, (table >> 1) ^ np.uint32(CRC32C), table >> 1)
     return table
 
 
 _TABLE = _crc_table()
+#: Each entry moves a register over twice as many zero bytes as the one before: four tables, by the register's bytes.
+_SHIFTS: list[np.ndarray] = []
+
+
+def _moved(table: np.ndarray, register: np.ndarray) -> np.ndarray:
+    out = table[0][register & 255]
+    for k in range(1, 4):
+        out = out ^ table[k][(register >> np.uint32(8 * k)) & 255]
+    return out
+
+
+def _shift(k: int) -> np.ndarray:
+    """Moves a register over 2**k zero bytes."""
+    while len(_SHIFTS) <= k:
+        if _SHIFTS:
+            _SHIFTS.append(np.stack([_moved(_SHIFTS[-1], t) for t in _SHIFTS[-1]]))
+        else:
+            byte = np.arange(256, dtype=np.uint32)
+            _SHIFTS.append(np.stack([_TABLE, *[byte << np.uint32(8 * j) for j in range(3)]]))
+    return _SHIFTS[k]
 
 
 def crc32c(data: bytes) -> int:
-    c = 0xFFFFFFFF
-    for b in data:
-        c = c >> 8 ^ _TABLE[(c ^ b) & 0xFF]
-    return c ^ 0xFFFFFFFF
+    """Registers of single bytes, combined pair by pair: the left one moves over the right one's bytes."""
+    n = len(data)
+    levels = max(0, n - 1).bit_length()
+    c = np.zeros(1 << levels, np.uint32)  # zero bytes in front leave a zero register as it is
+    if n:
+        c[len(c) - n :] = _TABLE[np.frombuffer(data, np.uint8)]
+    for k in range(levels):
+        c = _moved(_shift(k), c[0::2]) ^ c[1::2]
+    start = np.array([0xFFFFFFFF], np.uint32)
+    for k in range(n.bit_length()):
+        if n >> k & 1:
+            start = _moved(_shift(k), start)
+    return int(c[0] ^ start[0]) ^ 0xFFFFFFFF
 
 
 def shuffle(data: bytes, size: int) -> bytes:
@@ -92,21 +120,32 @@ def blosc_header(data: bytes) -> tuple[int, int, int, int, int]:
     return flags, size, nbytes, block, packed
 
 
-def blosc_decode(data: bytes) -> bytes:
-    """A short last block is unshuffled by its own length, and is raw if it is stored in that length."""
-    flags, size, nbytes, block, packed = blosc_header(data)
+def blosc_blocks(data: bytes) -> list[tuple[int, int]]:
+    """Place of each block's size in the chunk, and the block's bytes once decoded; the last block may be short. None for a raw chunk."""
+    flags, _, nbytes, block, packed = blosc_header(data)
     if packed != len(data):
         raise DecodeError("a blosc chunk has another length than its header says")
     if flags & RAW:
-        return data[packed - nbytes :]
+        return []
     if flags >> 5 != ZSTD_FORMAT >> 5 or not flags & NO_SPLIT:
         raise DecodeError("only unsplit zstd blocks are supported")
     count = -(-nbytes // block)
-    starts, zstd, out = struct.unpack_from(f"<{count}I", data, 16), zstandard.ZstdDecompressor(), []
-    for k, at in enumerate(starts):
-        own = min(block, nbytes - k * block)
-        if not 16 + 4 * count <= at <= len(data) - 4:
-            raise DecodeError("a blosc block starts outside its chunk")
+    if len(data) < 16 + 4 * count:
+        raise DecodeError("a blosc chunk is shorter than its table of blocks")
+    starts = struct.unpack_from(f"<{count}I", data, 16)
+    if any(not 16 + 4 * count <= at <= len(data) - 4 for at in starts):
+        raise DecodeError("a blosc block starts outside its chunk")
+    return [(at, min(block, nbytes - k * block)) for k, at in enumerate(starts)]
+
+
+def blosc_decode(data: bytes) -> bytes:
+    """A short last block is unshuffled by its own length, and is raw if it is stored in that length."""
+    flags, size, nbytes, _, packed = blosc_header(data)
+    blocks = blosc_blocks(data)
+    if flags & RAW:
+        return data[packed - nbytes :]
+    zstd, out = zstandard.ZstdDecompressor(), []
+    for at, own in blocks:
         (n,) = struct.unpack_from("<I", data, at)
         if at + 4 + n > len(data):
             raise DecodeError("a blosc block ends outside its chunk")

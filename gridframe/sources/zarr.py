@@ -1,7 +1,8 @@
-"""Sharded chunked arrays on a POSIX path: metadata, shard indexes, crops, and a writer.
+"""Sharded chunked arrays on a POSIX path that all machines see: metadata, shard indexes, crops, and a writer.
 
 Metadata and index scans run once for each distinct key, as rows with a status; a missing shard is a fill, a missing
-array or broken bytes are errors. Crops are read where their rows are: each task opens a file once.
+array or broken bytes are errors of the samples that need them. Crops are read where their rows are: the windows of a
+sample's chunks are aligned and fused to reads under the limits, and each read is one seek.
 """
 
 from __future__ import annotations
@@ -11,8 +12,11 @@ import math
 import os
 import struct
 import tempfile
+import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import dataclass
+from typing import BinaryIO
 
 import numpy as np
 import pandas as pd
@@ -20,24 +24,32 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridframe.config import Limits
 from gridframe.functions import grid as g
-from gridframe.operators import planning
+from gridframe.operators import planning, reads
 from gridframe.sources import codecs
 
 META = "uri string, dtype string, rank int, shape array<bigint>, inner array<bigint>, shard array<bigint>, sharded boolean, codec string, index_at_end boolean, fill_value binary, fill_f32 float, status string"
-INDEX = "uri string, shard_coord array<bigint>, slot bigint, offset bigint, nbytes bigint, is_empty boolean, index_status string"
+INDEX = "uri string, shard_coord array<bigint>, index_status string, entries array<struct<offset:bigint,nbytes:bigint>>"
+CROPS = "batch_id bigint, sample_idx bigint, data array<float>, status string, n_chunks bigint, n_loads bigint, n_reads bigint, bytes_read bigint, read_ns bigint"
 #: The empty slot's mark, and the limits on an array's rank.
 EMPTY, MAX_RANK = (1 << 64) - 1, 31
 
 
 def local(path: str) -> str:
-    return path.removeprefix("file://")
+    """The path that machines open; other schemes than file: are refused rather than taken for local folders."""
+    scheme, found, rest = path.partition("://")
+    if found and scheme != "file":
+        raise ValueError(f"array stores are POSIX paths; {scheme}:// is not supported")
+    return rest if found else path.removeprefix("file:")
 
 
 def scratch_store(spark: SparkSession) -> str:
-    """A new folder in the shared folder that the cluster names."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/gridframe"
-    return f"{local(base)}/{uuid.uuid4().hex}"
+    """A new folder in the shared folder that the cluster names; a temporary one only on a single machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("a cluster needs spark.checkpoint.dir, a folder that driver and executors share")
+    return f"{local(base or tempfile.gettempdir())}/gridframe/{uuid.uuid4().hex}"
 
 
 def metadata_json(shape: Column, inner: Column, shard: Column, dtype: Column, codec: Column, index_location: Column | str, fill: Column) -> Column:
@@ -178,130 +190,257 @@ def decode_index(data: bytes, n: int) -> np.ndarray:
     return pairs
 
 
+def index_rows(docs: DataFrame) -> DataFrame:
+    """(key, index_status, entries) for ``docs(key, n, index)``, an index of n slots as bytes: OK, or DECODE without entries. Empty slots are null."""
+    kind = pa.schema([("key", pa.string()), ("index_status", pa.string()), ("entries", _ENTRIES)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [{"key": r["key"]} | _decoded(r["index"], r["n"]) for r in b.to_pylist()]
+            yield pa.RecordBatch.from_pylist(rows, schema=kind)
+
+    return docs.select("key", F.col("n").cast("long"), "index").mapInArrow(run, "key string, index_status string, entries array<struct<offset:bigint,nbytes:bigint>>")
+
+
+_ENTRIES = pa.list_(pa.struct([("offset", pa.int64()), ("nbytes", pa.int64())]))
+
+
+def _decoded(data: bytes, n: int) -> dict:
+    try:
+        pairs = decode_index(data, n)
+    except codecs.DecodeError:
+        return {"index_status": "DECODE", "entries": None}
+    return {"index_status": "OK", "entries": [None if o == EMPTY else {"offset": o, "nbytes": b} for o, b in pairs.tolist()]}
+
+
+def index_bytes(files: DataFrame) -> DataFrame:
+    """(key, n, index) for ``files(key, entries)``: each file's index as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = b.column(1).to_pylist()
+            index = [encode_index(e and (e["offset"], e["nbytes"]) for e in entries) for entries in own]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, own), pa.int64()), pa.array(index, pa.binary())], ["key", "n", "index"])
+
+    return files.select("key", "entries").mapInArrow(run, "key string, n long, index binary")
+
+
+def encode_index(entries: Iterable[tuple[int, int] | None]) -> bytes:
+    """The inverse of ``decode_index``; none is an empty slot."""
+    table = np.array([(EMPTY, EMPTY) if e is None else e for e in entries], "<u8").tobytes()
+    return table + struct.pack("<I", codecs.crc32c(table))
+
+
+def shard_file(uri: str, coord: Iterable[int]) -> str:
+    return f"{local(uri).rstrip('/')}/c/{'/'.join(map(str, coord))}"
+
+
 def scan_indexes(shards: DataFrame) -> DataFrame:
-    """Rows of ``INDEX`` for ``shards(uri, shard_coord, ips, sharded, index_at_end)``: a row a slot, none for a missing file.
+    """Rows of ``INDEX`` for ``shards(uri, shard_coord, ips, sharded, index_at_end)``, one for each distinct shard, read once.
 
-    Each distinct shard is read once. A broken index is one row with status DECODE, a failed read one with IO.
+    The status is NOTFOUND for a missing file, DECODE for a broken index, IO for a failed read, else OK with an entry
+    for each slot, null where it is empty.
     """
-    kind = pa.schema([("uri", pa.string()), ("shard_coord", pa.list_(pa.int64())), ("slot", pa.int64()), ("offset", pa.int64()), ("nbytes", pa.int64()), ("is_empty", pa.bool_()), ("index_status", pa.string())])
+    kind = pa.schema([("uri", pa.string()), ("shard_coord", pa.list_(pa.int64())), ("index_status", pa.string()), ("entries", _ENTRIES)])
 
-    def entries(uri: str, coord: list[int], n: int, sharded: bool, at_end: bool) -> list[tuple]:
-        path = f"{local(uri).rstrip('/')}/c/{'/'.join(map(str, coord))}"
+    def scan(path: str, n: int, sharded: bool, at_end: bool) -> dict:
         try:
             size = os.stat(path).st_size
             if not sharded:
-                return [(0, 0, size, False, "OK")] if size else [(None, None, None, None, "DECODE")]
+                return {"index_status": "OK", "entries": [{"offset": 0, "nbytes": size}]} if size else {"index_status": "DECODE", "entries": None}
             with open(path, "rb") as f:
                 f.seek(max(0, size - 16 * n - 4) if at_end else 0)
-                pairs = decode_index(f.read(16 * n + 4), n)
+                return _decoded(f.read(16 * n + 4), n)
         except (FileNotFoundError, NotADirectoryError):
-            return []
-        except codecs.DecodeError:
-            return [(None, None, None, None, "DECODE")]
+            return {"index_status": "NOTFOUND", "entries": None}
         except OSError:
-            return [(None, None, None, None, "IO")]
-        return [(k, None, None, True, "OK") if o == EMPTY else (k, o, b, False, "OK") for k, (o, b) in enumerate(pairs.tolist())]
+            return {"index_status": "IO", "entries": None}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [dict(zip(kind.names, (r["uri"], r["shard_coord"], *e), strict=True)) for r in b.to_pylist() for e in entries(r["uri"], r["shard_coord"], math.prod(r["ips"]), r["sharded"], r["index_at_end"])]
-            yield pa.RecordBatch.from_pylist(rows, schema=kind)
+            for at in range(0, b.num_rows, 256):
+                rows = [{k: r[k] for k in ("uri", "shard_coord")} | scan(shard_file(r["uri"], r["shard_coord"]), math.prod(r["ips"]), r["sharded"], r["index_at_end"]) for r in b.slice(at, 256).to_pylist()]
+                yield pa.RecordBatch.from_pylist(rows, schema=kind)
 
     return shards.select("uri", "shard_coord", "ips", "sharded", "index_at_end").distinct().mapInArrow(run, INDEX)
 
 
-def plan_crops(samples: DataFrame, shape: list[int], meta: DataFrame | None = None) -> DataFrame:
-    """Chunk plans of ``samples(sample_seq, batch_id, sample_idx, uri, aabb)``: load or fill, with offsets and geometry."""
+def check_samples(samples: DataFrame, shape: list[int], limits: Limits, meta: DataFrame) -> DataFrame:
+    """``samples(sample_seq, batch_id, sample_idx, uri, aabb)`` with their array's metadata, ranges, and a status."""
+    checked = planning.validate_samples(samples, meta, shape)
+    codec = F.when((F.col("status") == "OK") & (F.col("codec") == "blosc_lz4"), "DECODE").otherwise(F.col("status"))
+    ranged = planning.sample_ranges(checked.withColumn("status", codec))
+    limited = planning.enforce_limits(ranged, limits.max_shards_per_sample, limits.max_chunk_uncompressed_bytes)
+    return planning.over_batch_cap(limited, limits.max_batch_chunks)
+
+
+def plan_crops(samples: DataFrame, shape: list[int], limits: Limits = Limits(), meta: DataFrame | None = None) -> DataFrame:  # noqa: B008
+    """Chunk plans: a row for each chunk of each good sample, a load with its place in its shard's file or a fill, and one for each bad sample.
+
+    ``status`` is the sample's, or DECODE or IO for a chunk whose shard has a broken index.
+    """
     meta = scan_metadata(samples) if meta is None else meta
-    checked = planning.validate_samples(samples, meta, shape).join(meta.select("uri", "codec", "sharded", "index_at_end", "fill_value", F.col("status").alias("meta_status")), "uri", "left")
-    status = F.when(F.col("meta_status") != "OK", F.col("meta_status")).when(F.col("codec") == "blosc_lz4", "DECODE").otherwise(F.col("status"))
-    chunks = planning.sample_chunks(planning.sample_ranges(checked.withColumn("status", status).where("status = 'OK'")), len(shape))
-    index = scan_indexes(chunks)
-    return planning.load_or_fill(chunks, index, ["uri", "shard_coord", "slot"])
+    checked = check_samples(samples, shape, limits, meta)
+    good = F.col("status") == "OK"
+    one = F.array_repeat(F.struct(F.lit(0).cast("long").alias("beg"), F.lit(1).cast("long").alias("end")), len(shape))
+    chunks = planning.sample_chunks(checked.withColumn("chunks", F.when(good, F.col("chunks")).otherwise(one)), len(shape))
+    index = scan_indexes(chunks.where(good))
+    entry = F.when(good & (F.col("index_status") == "OK"), F.get("entries", F.col("slot").cast("int")))
+    placed = chunks.join(index, ["uri", "shard_coord"], "left").withColumns({"offset": entry["offset"], "nbytes": entry["nbytes"]})
+    status = F.when(good & F.col("index_status").isin("DECODE", "IO"), F.col("index_status")).otherwise(F.col("status"))
+    return placed.withColumns({"is_fill": good & F.col("offset").isNull(), "status": status}).drop("entries", "index_status")
+
 
+def sample_statuses(plan: DataFrame) -> DataFrame:
+    """(sample_seq, status) of each sample of a chunk plan: OK, or its worst chunk's."""
+    bad = F.max(F.when(F.col("status") != "OK", F.col("status")))
+    return plan.groupBy("sample_seq").agg(F.coalesce(bad, F.lit("OK")).alias("status"))
 
-def read_crops(samples: DataFrame, shape: list[int], dtype: str = "float32", meta: DataFrame | None = None) -> DataFrame:
-    """(batch_id, sample_idx, data): dense crops, values cast to float32 and for bfloat16 rounded to it.
 
-    A sample's chunks, bounded by its box, travel as one row; a task reads, decodes and scatters them.
+def read_crops(samples: DataFrame, shape: list[int], dtype: str = "float32", limits: Limits = Limits(), meta: DataFrame | None = None) -> DataFrame:  # noqa: B008
+    """Rows of ``CROPS``: dense crops, values cast to float32 and for bfloat16 rounded to it, and what reading them took.
+
+    A bad sample has no data but a status; so has one whose chunks turn out to be cut short (IO) or broken (DECODE). A
+    sample's chunks, bounded by its box, travel as one row; a task reads, decodes and scatters them.
     """
+    plan = plan_crops(samples, shape, limits, meta)
     fields = F.struct("chunk_coord", "shard_coord", "offset", "nbytes", "is_fill")
-    plans = plan_crops(samples, shape, meta).groupBy("batch_id", "sample_idx").agg(F.first("uri").alias("uri"), F.first("aabb").alias("aabb"), F.first("inner").alias("inner"), F.first("dtype").alias("dtype"), F.first("codec").alias("codec"), F.first("fill_value").alias("fill_value"), F.collect_list(fields).alias("chunks"))
-    want = tuple(shape)
+    bad = F.max(F.when(F.col("status") != "OK", F.col("status")))
+    firsts = [F.first(c).alias(c) for c in ("uri", "aabb", "inner", "dtype", "codec", "fill_value")]
+    rows = plan.groupBy("batch_id", "sample_idx").agg(*firsts, F.coalesce(bad, F.lit("OK")).alias("status"), F.collect_list(fields).alias("chunks"))
+    crop = _Crops(tuple(shape), dtype, limits)
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.float32()), pa.string(), *[pa.int64()] * 5]
+    names = [f.split()[0] for f in CROPS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out, files = [], {}
-            try:
-                for row in b.to_pylist():
-                    out.append(crop(row, files).ravel())
-            finally:
-                for f in files.values():
-                    f.close()
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.float32()))], ["batch_id", "sample_idx", "data"])
-
-    def crop(row: dict, files: dict) -> np.ndarray:
-        t, inner, origin = numpy_type(row["dtype"]), row["inner"], [a["beg"] for a in row["aabb"]]
-        box = np.full(want, np.frombuffer(row["fill_value"], t)[0].astype(np.float32), np.float32)
-        for c in row["chunks"]:
-            if c["is_fill"]:
-                continue
-            path = f"{local(row['uri']).rstrip('/')}/c/{'/'.join(map(str, c['shard_coord']))}"
-            if path not in files:
-                if len(files) > 64:
-                    files.pop(next(iter(files))).close()
-                files[path] = open(path, "rb")  # noqa: SIM115
-            files[path].seek(c["offset"])
-            plain = codecs.decode(files[path].read(c["nbytes"]), row["codec"], t.itemsize * math.prod(inner))
-            block = np.frombuffer(plain, t).reshape(inner)
-            source, target = [], []
-            for k, (i, n, o, size) in enumerate(zip(c["chunk_coord"], inner, origin, want, strict=True)):
-                lo, hi = max(o, i * n), min(o + size, (i + 1) * n)
-                source.append(slice(lo - i * n, hi - i * n))
-                target.append(slice(lo - o, hi - o))
-            box[tuple(target)] = block[tuple(source)]
-        return codecs.to_bfloat16(box) if dtype == "bfloat16" else box
-
-    return plans.mapInArrow(run, "batch_id bigint, sample_idx bigint, data array<float>")
-
-
-def write_array(rows: DataFrame, root: str, inner: tuple[int, int], shard: tuple[int, int], width: int, dtype: str, codec: str, fill: float = 0) -> None:
-    """A rank-2 array of ``rows(row, values)``, dense rows of ``width`` values from row 0, as sharded files below ``root``.
-
-    A shard is one task's group and is bounded by its shape. Chunks that hold the fill alone stay empty slots.
+            with _Files() as files:
+                for at in range(0, b.num_rows, 16):
+                    out = [(r["batch_id"], r["sample_idx"], *crop(r, files)) for r in b.slice(at, 16).to_pylist()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    return rows.mapInArrow(run, CROPS)
+
+
+class _Files(dict):
+    """Open files by path, at most 64."""
+
+    def __enter__(self) -> _Files:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for f in self.values():
+            f.close()
+
+    def __missing__(self, path: str) -> BinaryIO:
+        if len(self) >= 64:
+            self.pop(next(iter(self))).close()
+        self[path] = f = open(path, "rb")  # noqa: SIM115
+        return f
+
+
+@dataclass(frozen=True)
+class _Crops:
+    """Reads one sample: its data, status, chunks, loads, reads, bytes and nanoseconds."""
+
+    shape: tuple[int, ...]
+    dtype: str
+    limits: Limits
+
+    def __call__(self, row: dict, files: _Files) -> tuple:
+        start = time.monotonic_ns()
+        if row["status"] != "OK":
+            return None, row["status"], 0, 0, 0, 0, 0
+        n_reads = n_bytes = 0
+        loads = [c for c in row["chunks"] if not c["is_fill"]]
+        try:
+            t = numpy_type(row["dtype"])
+            box = np.full(self.shape, np.frombuffer(row["fill_value"], t)[0].astype(np.float32), np.float32)
+            for path, begin, size, chunks in self.reads(row["uri"], loads):
+                files[path].seek(begin)
+                data = files[path].read(size)
+                n_reads, n_bytes = n_reads + 1, n_bytes + len(data)
+                for c in chunks:
+                    at = c["offset"] - begin
+                    if len(data) < at + c["nbytes"]:
+                        raise OSError("a shard ends inside a chunk")
+                    self.scatter(box, row, c, data[at : at + c["nbytes"]], t)
+        except codecs.DecodeError:
+            return None, "DECODE", len(row["chunks"]), len(loads), n_reads, n_bytes, time.monotonic_ns() - start
+        except OSError:
+            return None, "IO", len(row["chunks"]), len(loads), n_reads, n_bytes, time.monotonic_ns() - start
+        out = codecs.to_bfloat16(box) if self.dtype == "bfloat16" else box
+        return out.ravel(), "OK", len(row["chunks"]), len(loads), n_reads, n_bytes, time.monotonic_ns() - start
+
+    def reads(self, uri: str, loads: list[dict]) -> Iterator[tuple[str, int, int, list[dict]]]:
+        """Each file's loads, aligned and fused; ``planned reads`` and reads that are done are the same."""
+        page = self.limits.page_alignment
+        by_shard: dict[tuple, list[dict]] = {}
+        for c in loads:
+            by_shard.setdefault(tuple(c["shard_coord"]), []).append(c)
+        for coord, own in sorted(by_shard.items()):
+            windows = sorted(((c["offset"] // page * page, c["offset"], -(-(c["offset"] + c["nbytes"]) // page) * page, k) for k, c in enumerate(own)))
+            fused = reads.fuse(((a, end - a, own[k]) for a, _, end, k in windows), self.limits.max_read_op_bytes, self.limits.max_chunks_per_read)
+            for begin, size, chunks in fused:
+                yield shard_file(uri, coord), begin, size, chunks
+
+    def scatter(self, box: np.ndarray, row: dict, chunk: dict, packed: bytes, t: np.dtype) -> None:
+        inner = row["inner"]
+        block = np.frombuffer(codecs.decode(packed, row["codec"], t.itemsize * math.prod(inner)), t).reshape(inner)
+        source, target = [], []
+        for i, n, axis, size in zip(chunk["chunk_coord"], inner, row["aabb"], self.shape, strict=True):
+            lo, hi = max(axis["beg"], i * n), min(axis["beg"] + size, (i + 1) * n)
+            source.append(slice(lo - i * n, hi - i * n))
+            target.append(slice(lo - axis["beg"], hi - axis["beg"]))
+        box[tuple(target)] = block[tuple(source)]
+
+
+def write_array(rows: DataFrame, root: str, shape: Sequence[int], inner: Sequence[int], shard: Sequence[int], dtype: str, codec: str, fill: float = 0, index_location: str = "end") -> None:
+    """An array of any rank as sharded files below ``root``, from ``rows(at, values)``: the last axis' values at the other axes' coordinates.
+
+    ``at`` is an array of whole numbers, or for rank 2 a column ``row``. Rows that are missing, and what is missing at
+    a row's end, are the fill; where a row repeats, one of them is taken. A shard is one task's group and is bounded by
+    its shape. Chunks that hold the fill alone stay empty slots.
     """
-    path, t = local(root), numpy_type(dtype)
-    height = (rows.agg(F.max("row")).collect()[0][0] or 0) + 1
-    per = [s // i for s, i in zip(shard, inner, strict=True)]
-    parts = rows.select(F.expr(f"row div {shard[0]}").alias("sy"), "row", "values").withColumn("sx", F.explode(F.sequence(F.lit(0), F.lit(-(-width // shard[1]) - 1))))
-    parts = parts.select("sy", "sx", "row", F.slice("values", F.col("sx") * shard[1] + 1, F.lit(shard[1])).alias("part"))
+    path, t, rank = local(root), numpy_type(dtype), len(shape)
+    per, width = [s // i for s, i in zip(shard, inner, strict=True)], shard[-1]
+    at = F.array("row").cast("array<bigint>") if "row" in rows.columns else F.col("at").cast("array<bigint>")
+    lead = F.array(*[g.div(F.col("at")[k], int(shard[k])) for k in range(rank - 1)])
+    spread = rows.select(at.alias("at"), "values").withColumn("last", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(-(-shape[-1] // width) - 1).cast("long"))))
+    parts = spread.select(F.concat(lead, F.array("last")).alias("shard"), "at", F.slice("values", (F.col("last") * width + 1).cast("int"), F.lit(width)).alias("part"))
 
     def save(group: pd.DataFrame) -> pd.DataFrame:
-        sy, sx = int(group["sy"].iloc[0]), int(group["sx"].iloc[0])
+        coord = [int(x) for x in group["shard"].iloc[0]]
         block = np.full(shard, fill, t)
-        for r, values in zip(group["row"], group["part"], strict=True):
-            block[int(r) - sy * shard[0], : len(values)] = np.asarray(values).astype(t)
-        body, index = b"", []
-        for y in range(per[0]):
-            for x in range(per[1]):
-                chunk = np.ascontiguousarray(block[y * inner[0] : (y + 1) * inner[0], x * inner[1] : (x + 1) * inner[1]])
-                if (chunk == np.array(fill, t)).all():
-                    index += [EMPTY, EMPTY]
-                    continue
-                packed = codecs.encode(chunk.tobytes(), codec, t.itemsize)
-                index += [len(body), len(packed)]
-                body += packed
-        table = np.array(index, "<u8").tobytes()
-        os.makedirs(f"{path}/c/{sy}", exist_ok=True)
-        part = f"{path}/c/{sy}/.{sx}.{uuid.uuid4().hex}"  # a task that runs twice replaces its file whole
+        for where, values in zip(group["at"], group["part"], strict=True):
+            place = tuple(int(w) - c * s for w, c, s in zip(where, coord, shard, strict=False))
+            block[place][: len(values)] = np.asarray(values).astype(t)
+        body, entries, size = [], [], 0
+        for slot in np.ndindex(*per):
+            chunk = np.ascontiguousarray(block[tuple(slice(k * n, (k + 1) * n) for k, n in zip(slot, inner, strict=True))])
+            if (chunk == np.array(fill, t)).all():
+                entries.append(None)
+                continue
+            packed = codecs.encode(chunk.tobytes(), codec, t.itemsize)
+            entries.append((size, len(packed)))
+            body.append(packed)
+            size += len(packed)
+        if index_location == "start":
+            head = 16 * len(entries) + 4
+            entries = [e and (e[0] + head, e[1]) for e in entries]
+        index = encode_index(entries)
+        target = shard_file(path, coord)
+        os.makedirs(os.path.dirname(target), exist_ok=True)
+        part = f"{os.path.dirname(target)}/.{coord[-1]}.{uuid.uuid4().hex}"  # a task that runs twice replaces its file whole
         with open(part, "wb") as f:
-            f.write(body + table + struct.pack("<I", codecs.crc32c(table)))
-        os.replace(part, f"{path}/c/{sy}/{sx}")
-        return pd.DataFrame({"sy": [sy], "sx": [sx]})
+            f.writelines([index, *body] if index_location == "start" else [*body, index])
+        os.replace(part, target)
+        return pd.DataFrame({"shards": [1]})
 
-    parts.groupBy("sy", "sx").applyInPandas(save, "sy bigint, sx bigint").count()
+    parts.groupBy("shard").applyInPandas(save, "shards bigint").count()
     spark = rows.sparkSession
     arr = lambda v: F.array(*[F.lit(int(x)).cast("long") for x in v])
-    doc = spark.range(1).select(metadata_json(arr((height, width)), arr(inner), arr(shard), F.lit(dtype), F.lit(codec), "end", F.lit(json.dumps(fill)))).collect()[0][0]
+    doc = spark.range(1).select(metadata_json(arr(shape), arr(inner), arr(shard), F.lit(dtype), F.lit(codec), index_location, F.lit(json.dumps(fill)))).collect()[0][0]
+    os.makedirs(path, exist_ok=True)
     with open(f"{path}/zarr.json", "w", encoding="utf-8") as f:
         f.write(doc)

@@ -81,12 +81,6 @@ def test_chunks_cover_the_box_once(spark, axes):
     assert clipped.agg(F.sum("n")).collect()[0][0] == int(np.prod([n for _, n, _ in axes]))
 
 
-def test_wave_caps(spark):
-    groups = spark.createDataFrame([(0, k, n, c, o) for k, (n, c, o) in enumerate([(4, 1, 1), (4, 1, 1), (4, 1, 1), (20, 1, 1), (0, 1, 9)])], "batch_id bigint, read_op_idx bigint, nbytes bigint, n_chunks bigint, total_decompressed bigint")
-    out = reads.pack_waves(groups, 8, 2, 9).orderBy("read_op_idx").collect()
-    assert [(r["wave_id"], r["host_offset"], r["dev_offset"], r["status"]) for r in out] == [(0, 0, 0, "OK"), (0, 4, 1, "OK"), (1, 0, 0, "OK"), (2, 0, 0, "BUDGET"), (3, 0, 0, "OK")]
-
-
 def test_ready_prefix(spark):
     for seqs, want in (([0, 1, 2, 4], 3), ([1, 2], 0), ([], 0), ([0], 1), ([0, 0, 1], 2)):
         assert planning.ready_prefix(spark.createDataFrame([(s,) for s in seqs], "sample_seq bigint")).collect()[0][0] == want
