@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridframe.config import Config
+from gridframe.functions import documents as D
 from gridframe.functions import grid as g
-from gridframe.operators import assembly, planning, reads, stats
+from gridframe.operators import assembly, planning, reads, results, stats
 from gridframe.pipeline import Pipeline
 from gridframe.plans import lenses as L
 from gridframe.sources import arrays, codecs, zarr
@@ -559,6 +560,34 @@ def json_query(spark, sf_dir):
     return L.table(spark, sf_dir, "events").select("event_id", k.alias("k")).where("k >= 50")
 
 
+@query("""SELECT event_id, CASE WHEN event_id % 4 < 3 THEN event_id * 3 END AS value, CASE event_id % 4 WHEN 3 THEN 'TYPE' ELSE 'OK' END AS status,
+    CAST(event_id % 4 AS BIGINT) AS place, CASE WHEN event_id % 2 = 0 THEN 'NOT_FOUND' ELSE 'RANGE' END AS large FROM events""")
+def json_steps(spark, sf_dir):
+    """Documents made from the table, in which the element with a certain name is looked for, and numbers beyond 64 bits."""
+    event = F.col("event_id").cast("string")
+    value = F.when(F.col("event_id") % 4 < 3, (F.col("event_id") * 3).cast("string")).otherwise(F.concat(F.lit('"'), event, F.lit('"')))
+    large = F.when(F.col("event_id") % 2 == 1, F.concat(F.lit(',"big":1'), F.repeat(F.lit("0"), F.lit(25)))).otherwise("")
+    text = F.concat(F.lit('{"list":[{"name":"other","v":0},{"name":"it","v":'), value, F.lit("}],"), F.lit('"at":['), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: (k * 1).cast("string")), ","), F.lit("]"), large, F.lit("}"))
+    doc = L.table(spark, sf_dir, "events").select("event_id", F.parse_json(text).alias("doc"))
+    found = D.as_whole(D.resolve(F.col("doc"), D.Key("list"), D.Each(), D.Where((D.Key("name"),), "it"), D.Key("v")))
+    place = D.as_whole(D.resolve(F.get(F.array(*[D.resolve(F.col("doc"), D.Key("at"), D.Index(k)) for k in range(4)]), (F.col("event_id") % 4).cast("int"))))
+    return doc.select("event_id", found["value"].alias("value"), found["status"].alias("status"), place["value"].alias("place"), D.as_whole(D.resolve(F.col("doc"), D.Key("big")))["status"].alias("large"))
+
+
+@query("""WITH r AS (SELECT event_type AS scenario, CAST(count(*) AS DOUBLE) AS n, CAST(max(event_id) AS DOUBLE) AS top, count(*) % 3 AS calls FROM events GROUP BY 1),
+    m AS (SELECT 'a/' || scenario AS p, * FROM r UNION ALL SELECT scenario AS p, * FROM r)
+    SELECT p || '/wall' AS name, 'ms' AS unit, top AS value, 'smaller' AS better FROM m
+    UNION ALL SELECT p || '/io.ms_avg', 'ms', n / 2, 'smaller' FROM m UNION ALL SELECT p || '/assemble.ms_avg', 'ms', top / calls, 'smaller' FROM m WHERE calls > 0
+    UNION ALL SELECT p || '/throughput', 'MB/s', n, 'bigger' FROM m""")
+def merged_metrics(spark, sf_dir):
+    """A run for each kind of event, on a runner with a name and on one without, as one table of metrics."""
+    events = L.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("scenario")).agg(F.count("*").cast("double").alias("n"), F.max("event_id").cast("double").alias("top"))
+    stage = lambda name, ms, count: F.struct(F.lit(name).alias("name"), ms.alias("ms"), count.cast("long").alias("count"))
+    stages = F.array(stage("io", F.col("n"), F.lit(2)), stage("assemble", F.col("top"), F.col("n") % 3), stage("untracked", F.col("n"), F.lit(1)))
+    runs = events.select("scenario", F.create_map(F.lit("wall"), F.col("top"), F.lit("other"), F.col("n")).alias("timings_ms"), stages.alias("stages"), F.col("n").alias("throughput_mb_s"))
+    return results.merged([results.metric_rows(runs.withColumn("runner", F.lit(r))) for r in ("a", " ")])
+
+
 @query(with_samples("SELECT seq // 2 + CASE WHEN seq % 2 = 1 THEN (SELECT count(*) FROM smp WHERE seq % 2 = 0) ELSE 0 END AS seq, uri, y0 AS beg_y FROM smp"))
 def union_pushes(spark, sf_dir):
     """Two pushes, each numbered for itself; the pipeline's numbers go on."""

@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from gridframe.functions import documents as D
 from gridframe.functions import grid as g
 from gridframe.operators import planning, reads, stats
 from gridframe.sources.codecs import to_bfloat16
@@ -103,3 +104,18 @@ def test_running_sums_by_blocks(spark, block):
     frame = spark.createDataFrame(rows, "k string, o bigint, v bigint")
     got = {(r["k"], r["o"]): r["s"] for r in planning.running(frame, ["k"], "o", block, {"s": F.col("v")}).collect()}
     assert got == {("a", k): sum(j % 5 for j in range(k)) for k in range(20)} | {("b", 7): 0}
+
+
+def test_steps_into_documents(spark):
+    text = '{"a":[{"n":"x","v":1},{"n":"y","v":2.5,"t":true},{"n":1,"v":"2"}],"b c":{"it\'s":9223372036854775808},"e":[]}'
+    doc = F.parse_json(F.lit(text))
+    one = spark.range(1)
+    whole = lambda *steps: tuple(one.select(D.as_whole(D.resolve(doc, *steps)).alias("r")).collect()[0]["r"])
+    each = (D.Key("a"), D.Each())
+    assert whole(D.Key("a"), D.Index(0), D.Key("v")) == (1, "OK")
+    assert whole(*each, D.Where((D.Key("n"),), "y"), D.Key("v")) == (None, "RANGE")
+    assert whole(*each, D.Where((D.Key("n"),), 1), D.Key("v")) == (None, "TYPE")
+    assert whole(D.Key("b c"), D.Key("it's")) == (None, "RANGE")
+    assert whole(D.Key("a"), D.Index(7)) == whole(D.Key("e"), D.Each()) == whole(D.Key("a"), D.Key("v")) == (None, "NOT_FOUND")
+    row = one.select(D.as_number(D.resolve(doc, D.Key("a"), D.Index(1), D.Key("v"))).alias("x"), D.as_truth(D.resolve(doc, *each, D.Where((D.Key("t"),), True), D.Key("t"))).alias("t"), F.size(D.results(doc, *each, D.Key("v"))).alias("n")).collect()[0]
+    assert (row["x"]["value"], row["t"]["value"], row["n"]) == (2.5, True, 3)
