@@ -424,6 +424,10 @@ def deduplicated(docs: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
     """
     changed = remove_repeats(docs, window, changed_only=True).groupBy(F.col("doc_id").alias("_id"), F.col("words_hash").alias("_hash")).agg(F.min("kept").alias("_kept"))
     words_hash = F.xxhash64(F.trim(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[ \t\n\x0B\f\r]+", " ")))
-    joined = docs.join(changed, (F.col("doc_id").cast("long") == F.col("_id")) & (words_hash == F.col("_hash")), "left")
-    new = {"text": F.coalesce("_kept", "text")} | ({"n_chars": F.when(F.col("_kept").isNotNull(), F.length("_kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return joined.withColumns(new).select(*docs.columns)
+    own = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_doc"), words_hash.alias("_words"))
+    joined = own.join(changed, (F.col("_doc") == F.col("_id")) & (F.col("_words") == F.col("_hash")), "left")
+    new = {"text": F.coalesce("_kept", F.col("_row")["text"])}
+    if "n_chars" in docs.columns:
+        length = F.when(F.col("_kept").isNotNull(), F.length("_kept")).otherwise(F.col("_row")["n_chars"])
+        new["n_chars"] = length.cast(docs.schema["n_chars"].dataType)
+    return joined.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
