@@ -82,11 +82,9 @@ def cut_into_pieces(docs: DataFrame, capacity: int = SEQUENCE_TOKENS, path: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen, part = library_memo("pack", path, _encoder), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for b in slices(batches):
-            cut = [words(x) for x in texts(b.column(1))]
-            known.learn(cut)
             out = []
-            for doc, doc_words in zip(b.column(0).to_pylist(), cut, strict=True):
-                ids = b"".join(map(known.__getitem__, doc_words)) + separator
+            for doc, codes in zip(b.column(0).to_pylist(), known.codes([words(x) for x in texts(b.column(1))]), strict=True):
+                ids = b"".join(codes) + separator
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     body = ids[at : at + 4 * capacity]
                     n = len(body) // 4

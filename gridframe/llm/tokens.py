@@ -75,6 +75,17 @@ class Memo(dict):
             for piece, code in zip(part, self.encode(part), strict=True):
                 (self if len(piece) <= MEMO_ENTRY_BYTES // 4 else self.long)[piece] = code
 
+    def codes(self, docs: list[list[str]]) -> list[list]:
+        """The codes of every document's pieces. Pieces are looked up once; only those that are lacking are learned."""
+        if len(self) > MEMO_ENTRIES:
+            self.clear()
+        out = [list(map(self.get, doc)) for doc in docs]
+        lacking = [k for k, codes in enumerate(out) if None in codes]
+        self.learn([[piece for piece, code in zip(docs[k], out[k], strict=True) if code is None] for k in lacking])
+        for k in lacking:
+            out[k] = list(map(self.__getitem__, docs[k]))
+        return out
+
 
 def vocabulary_path(name: str, path: str | None) -> str:
     if path:
@@ -260,9 +271,7 @@ def count_tokens(docs: DataFrame, limit: int = 1024, path: str | None = None, ch
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = library_memo("count", path, _counter)
         for b in slices(batches):
-            cut = [pieces(x) for x in texts(b.column(1))]
-            known.learn(cut)
-            n = pa.array([sum(map(known.__getitem__, x)) for x in cut], pa.int64())
+            n = pa.array(map(sum, known.codes([pieces(x) for x in texts(b.column(1))])), pa.int64())
             size = pc.fill_null(pc.binary_length(b.column(1)), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), size, n], ["doc_id", "n_bytes", "n_tokens"])
 

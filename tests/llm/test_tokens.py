@@ -56,6 +56,13 @@ def test_memo_keeps_no_long_piece():
         known["a" * 1000]
 
 
+def test_memo_that_starts_anew_knows_all_pieces(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO_ENTRIES", 3)
+    known = tokens.Memo(lambda new: [len(x) for x in new])
+    for docs in ([["a", "bb"], ["a"]], [["a", "ccc", "d" * 999]], [["a", "bb", "eeee"], []], [["f", "a"]]):
+        assert known.codes(docs) == [list(map(len, d)) for d in docs]
+
+
 def docs(spark, rows):
     return spark.createDataFrame([(i, t, "n", 0) for i, t in rows], "doc_id bigint, text string, n_tokens string, row int")
 
